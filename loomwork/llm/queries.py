@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm import bpe_tree, chat_parts, cube_mix, line_dedup, tiff_media
-from loomwork.llm.common import table
+from loomwork.llm import bpe_tree, chat_parts, cube_mix, line_dedup, quality_net, simhash, tiff_media, weak_toxicity
+from loomwork.llm.common import id_split, table
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 
@@ -46,6 +46,17 @@ FROM sized GROUP BY conv_id
 """
 
 
+def op4_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality_net.train(docs, quality_net.split_training(table(spark, sf_dir, "labels")))
+    scored = quality_net.score_documents(docs, model)
+    return scored.select("doc_id", (id_split("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.fingerprints_with_edits(table(spark, sf_dir, "documents"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), min_docs=10)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -72,6 +83,13 @@ def op7_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff_media.texts_as_tiff(table(spark, sf_dir, "documents"), with_media=False)
 
 
+def op9_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = weak_toxicity.train(docs, weak_toxicity.split_training(table(spark, sf_dir, "labels")))
+    scored = weak_toxicity.score_documents(docs, model)
+    return scored.select("doc_id", (id_split("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op10_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -79,5 +97,5 @@ def op10_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_tree.encode_documents(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, with_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op3_chat_format, op6_line_dedup, op7_tiff_media, op10_bpe_tree)}
+QUERIES = {f.__name__: f for f in (op2_mix_sources, op3_chat_format, op4_quality_net, op5_simhash, op6_line_dedup, op7_tiff_media, op9_weak_toxicity, op10_bpe_tree)}
 ORACLE_SQL = {"op3_chat_format": _OP3_SQL, "op6_line_dedup": _OP6_SQL}
