@@ -5,12 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm import bpe_tree, chat_parts, cube_mix, line_dedup, quality_net, simhash, tiff_media, weak_toxicity
+from loomwork.llm import bpe_tree, brown_lm, chat_parts, cube_mix, line_dedup, minhash_join, quality_net, simhash, tiff_media, weak_toxicity
 from loomwork.llm.common import id_split, table
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", id_split("doc_id", 10) == 0)
+    model = brown_lm.train(docs.filter(~F.col("held_out")))
+    scored = brown_lm.score_documents(docs, model, carry=("held_out",))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = cube_mix.mix_sources(table(spark, sf_dir, "documents"))
     return mix.select("doc_id", "size", "source_size", "target", "taken")
@@ -83,6 +90,10 @@ def op7_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff_media.texts_as_tiff(table(spark, sf_dir, "documents"), with_media=False)
 
 
+def op8_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_join.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op9_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = weak_toxicity.train(docs, weak_toxicity.split_training(table(spark, sf_dir, "labels")))
@@ -97,5 +108,5 @@ def op10_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_tree.encode_documents(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, with_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op3_chat_format, op4_quality_net, op5_simhash, op6_line_dedup, op7_tiff_media, op9_weak_toxicity, op10_bpe_tree)}
+QUERIES = {f.__name__: f for f in (op1_brown_lm, op2_mix_sources, op3_chat_format, op4_quality_net, op5_simhash, op6_line_dedup, op7_tiff_media, op8_minhash_join, op9_weak_toxicity, op10_bpe_tree)}
 ORACLE_SQL = {"op3_chat_format": _OP3_SQL, "op6_line_dedup": _OP6_SQL}
