@@ -26,10 +26,10 @@ def line_key(line: Column) -> Column:
     return lower_ascii(F.btrim(line, F.lit(WHITE)))
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _keyed(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
     """A row is known by its id and a hash of its text: repeated rows are alike, rows that share an id aren't mixed up."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64(text).alias("body"), text.alias("text"), F.col(id_col).alias("given_id"))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64(text).alias("body"), text.alias("text"), F.col(id_col).alias("given_id"), F.struct(*carry).alias("carried") if carry else F.lit(None).cast("int").alias("carried"))
 
 
 def _stream(min_docs: int):
@@ -145,10 +145,10 @@ def line_keep_bitmaps(docs: DataFrame, min_docs: int = 10, id_col: str = "doc_id
     return per_doc.mapInArrow(pack, "doc bigint, body bigint, n_lines int, keep binary")
 
 
-def apply_keep_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, kept_text, n_lines, n_dropped for every row of docs: the lines that stay, joined by newlines."""
+def apply_keep_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """id_col, carry..., kept_text, n_lines, n_dropped for every row of docs: the lines that stay, joined by newlines."""
     kind = dict(docs.dtypes)[id_col]
-    both = _keyed(docs, id_col, text_col).join(bitmaps.drop("n_lines"), ["doc", "body"], "left").select(F.col("given_id").alias(id_col), "text", "keep")
+    both = _keyed(docs, id_col, text_col, carry).join(bitmaps.drop("n_lines"), ["doc", "body"], "left").select(F.col("given_id").alias(id_col), "text", "keep", "carried")
 
     def run(batches):
         for batch in batches:
@@ -161,9 +161,10 @@ def apply_keep_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_i
                     lines = [lines[i] for i in np.flatnonzero(bits).tolist()]
                 texts.append("\n".join(lines))
                 n_dropped.append(n_lines[-1] - len(lines))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [id_col, "kept_text", "n_lines", "n_dropped"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(texts, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [id_col, "carried", "kept_text", "n_lines", "n_dropped"])
 
-    return both.mapInArrow(run, f"`{id_col}` {kind}, kept_text string, n_lines bigint, n_dropped bigint")
+    out = both.mapInArrow(run, f"`{id_col}` {kind}, carried {dict(both.dtypes)['carried']}, kept_text string, n_lines bigint, n_dropped bigint")
+    return out.select(id_col, *(F.col(f"carried.`{c}`").alias(c) for c in carry), "kept_text", "n_lines", "n_dropped")
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -198,21 +198,49 @@ def _seen(index: dict[bytes, int]):
     return run
 
 
+def _scorer(docs: DataFrame, model: ToxicityModel):
+    """batch -> scores of its first column (binary texts), made once per task."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        weight = list(held.value.weights.values())
+        features = FeaturesOf({f: i for i, f in enumerate(held.value.weights)})
+
+        def score(batch):
+            z = np.array([held.value.intercept + sum(map(weight.__getitem__, sorted(features.of(raw)))) for raw in batch.column(0).to_pylist()])
+            return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+        return score
+
+    return make
+
+
 def score_documents(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, score (0 to 1) for every row of docs, from whole texts. Null and empty texts get the score of a text
     without features; repeated rows are scored each; empty tables give empty tables; other columns are not read."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
-    kind = dict(docs.dtypes)[id_col]
+    make = _scorer(docs, model)
 
     def run(batches):
-        names = list(held.value.weights)
-        weight = list(held.value.weights.values())
-        features = FeaturesOf({f: i for i, f in enumerate(names)})
+        score = make()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(score(batch), pa.float64())], [id_col, "score"])
+
+    return docs.select(text_bytes(text_col).alias("raw"), id_col).mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, score double")
+
+
+def keep_clean(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows of docs with a score under the threshold, all columns as they are."""
+    make = _scorer(docs, model)
+
+    def run(batches):
+        score = make()
         for batch in batches:
-            z = np.array([held.value.intercept + sum(sorted(map(weight.__getitem__, features.of(raw)))) for raw in batch.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))), pa.float64())], [id_col, "score"])
+            yield pa.RecordBatch.from_arrays(batch.columns[1:], batch.schema.names[1:]).filter(pa.array(score(batch) < threshold))
 
-    return docs.select(id_col, text_bytes(text_col).alias("raw")).mapInArrow(run, f"`{id_col}` {kind}, score double")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    renamed = docs.toDF(*names)
+    raw = text_bytes(names[docs.columns.index(text_col)]).alias("raw")
+    return renamed.select(raw, *names).mapInArrow(run, renamed.schema).toDF(*docs.columns)
 
 
 def split_training(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
