@@ -9,9 +9,10 @@ the distance share a key; links are confirmed on full sets.
 No group becomes all its pairs:
 1. equal sets become one node;
 2. in each key's bucket each node is held against the bucket's least node, and confirmed links make components;
-3. only buckets that still hold several components are searched further: their signatures are
-   compared blockwise in memory, only nodes of different components are held against each other, and only pairs within
-   the signature distance leave a block. Large buckets are cut into blocks, each pair of blocks a task of its own.
+3. only buckets that still hold several components are searched further. In each, chains of pairs
+   within the signature distance make trees, whose links (fewer than nodes) make families; a family's sets meet once,
+   and pairs of different components within the distance are confirmed on them, in memory. Only links that
+   join two components leave a task. Large buckets and families are cut into parts, each pair of parts a task of its own.
 """
 
 from __future__ import annotations
@@ -31,7 +32,8 @@ SYMBOLS, BITS, CHUNKS, ERRORS = 60, 16, 12, 1
 WIDE = SYMBOLS // CHUNKS
 #: All pairs up to this distance share a key. (At a similarity of 0.85 the mean distance is 9, the deviation 2.8.)
 GUARANTEED = CHUNKS * (ERRORS + 1) - 1
-BLOCK = 4096
+#: Rows of a bucket's part; bytes of shingle sets of a family's part.
+BLOCK, BLOCK_BYTES = 4096, 16_000_000
 #: Node ids up to this number are broadcast (8 MB at most); more go through a shuffle join.
 MOST_BROADCAST = 1_000_000
 
@@ -102,65 +104,121 @@ def _keys(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "sig").mapInArrow(run, "key bigint, node bigint")
 
 
-def _near(a: np.ndarray, b: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of pairs within the distance; rows of a are taken a few at a time."""
-    left, right = [], []
-    step = max(1, 4_000_000 // (SYMBOLS * max(1, len(b))))
-    for lo in range(0, len(a), step):
-        far = (a[lo : lo + step, None, :] != b[None, :, :]).sum(axis=2, dtype=np.uint16)
-        i, j = np.nonzero(far <= most)
-        left.append(i + lo)
-        right.append(j)
-    return np.concatenate(left), np.concatenate(right)
-
-
-def _search_blocks(most: int):
-    """Streams rows sorted by (key, block pair): pairs of nodes of different components within the distance."""
-
-    def pairs(side, node, comp, sig):
-        first, second = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
-        i, j = _near(sig[first], sig[second], most)
-        i, j = first[i], second[j]
-        ok = (comp[i] != comp[j]) & (node[i] != node[j])
-        a, b = np.minimum(node[i], node[j])[ok], np.maximum(node[i], node[j])[ok]
-        return np.unique(np.stack([a, b], axis=1), axis=0)
+def _grouped(n_marks: int, work):
+    """Streams rows sorted by their first n_marks columns; work gets the rows of one group after the other, as a table."""
 
     def run(batches):
         held: list[pa.RecordBatch] = []
-
-        def search(rows: pa.Table):
-            cols = [rows.column(k).to_numpy() for k in range(6)]
-            sig = np.frombuffer(b"".join(rows.column(6).to_pylist()), np.uint16).reshape(-1, SYMBOLS)
-            key, i, j = cols[:3]
-            cuts = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-            found = [pairs(cols[3][lo:hi], cols[4][lo:hi], cols[5][lo:hi], sig[lo:hi]) for lo, hi in zip([0, *cuts], [*cuts, len(key)]) if hi - lo > 1 and len(np.unique(cols[5][lo:hi])) > 1]
-            found = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-            if len(found):
-                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
-
+        mark = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            mark = tuple(batch.column(k)[batch.num_rows - 1].as_py() for k in range(3))
-            same = np.logical_and.reduce([batch.column(k).to_numpy() == mark[k] for k in range(3)])
-            cut = int(np.argmax(same))  # the last block pair may go on in the next batch
-            if held and tuple(held[-1].column(k)[0].as_py() for k in range(3)) == mark and cut == 0:
-                held.append(batch)
-                continue
-            rows = pa.Table.from_batches([*held, batch.slice(0, cut)])
-            if rows.num_rows:
-                yield from search(rows)
-            held = [batch.slice(cut)]
+            marks = [batch.column(k).to_numpy() for k in range(n_marks)]
+            cuts = (np.flatnonzero(np.logical_or.reduce([m[1:] != m[:-1] for m in marks])) + 1).tolist()
+            for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows]):
+                now = tuple(m[lo] for m in marks)
+                if held and now != mark:
+                    yield from work(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(lo, hi - lo))
+                mark = now
         if held:
-            yield from search(pa.Table.from_batches(held))
+            yield from work(pa.Table.from_batches(held))
 
     return run
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int, width: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) whose full sets are alike enough. Only texts of nodes in pairs move."""
-    spark = docs.sparkSession
-    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+def _signatures(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, SYMBOLS)
+
+
+def _near(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """[len(a), len(b)] whether the distance is at most most."""
+    out = np.empty((len(a), len(b)), bool)
+    step = max(1, 4_000_000 // (SYMBOLS * max(1, len(b))))
+    for lo in range(0, len(a), step):
+        out[lo : lo + step] = (a[lo : lo + step, None, :] != b[None, :, :]).sum(axis=2, dtype=np.uint8) <= most
+    return out
+
+
+def _forests(most: int):
+    """For each part of a bucket (key, i, j, side, node, comp, sig): links that connect all nodes which chains of close pairs
+    connect, at most one less than nodes, and only where several components are connected."""
+
+    def work(rows: pa.Table):
+        node, comp = rows.column(4).to_numpy(), rows.column(5).to_numpy()
+        if len(node) < 2 or (comp == comp[0]).all():
+            return
+        close = _near(sig := _signatures(rows.column(6)), sig, most)
+        left, a, b = np.ones(len(node), bool), [], []
+        for start in range(len(node)):
+            if not left[start]:
+                continue
+            left[start], tree, queue, comps = False, [], [start], {comp[start]}
+            while queue:
+                u = queue.pop()
+                fresh = np.flatnonzero(close[u] & left)
+                left[fresh] = False
+                queue += fresh.tolist()
+                comps.update(comp[fresh].tolist())
+                tree += [(u, v) for v in fresh.tolist()]
+            if len(comps) > 1:
+                a += [node[u] for u, _ in tree]
+                b += [node[v] for _, v in tree]
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return _grouped(3, work)
+
+
+def _links_within(most: int, percent: int):
+    """For each pair of parts of a family (family, i, j, side, node, comp, sig, shingles): links confirmed on full sets, only
+    those that join components that nothing before has joined. side 0: both parts are one; 1 and 2: the first and second."""
+
+    def work(rows: pa.Table):
+        side, node, comp = (rows.column(k).to_numpy() for k in (3, 4, 5))
+        names, root = np.unique(comp, return_inverse=True)
+        if len(names) < 2:
+            return
+        sig = _signatures(rows.column(6))
+        sets = [np.frombuffer(x, np.uint64) for x in rows.column(7).to_pylist()]
+        size = np.array([len(x) for x in sets])
+        _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        starts = np.concatenate(([0], np.cumsum(size)))
+        first, second = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
+        marked = np.zeros(int(flat.max()) + 1, bool)
+        a, b = [], []
+        for x in first.tolist():
+            others = second[(root[second] != root[x]) & (100 * np.minimum(size[second], size[x]) >= percent * np.maximum(size[second], size[x]))]
+            if len(others):
+                others = others[(sig[others] != sig[x]).sum(axis=1) <= most]
+            if not len(others):
+                continue
+            own = flat[starts[x] : starts[x + 1]]
+            marked[own] = True
+            at = np.concatenate([np.arange(starts[o], starts[o + 1]) for o in others.tolist()])
+            shared = np.add.reduceat(marked[flat[at]].astype(np.int64), np.concatenate(([0], np.cumsum(size[others])[:-1])))
+            marked[own] = False
+            for y in others[100 * shared >= percent * (size[x] + size[others] - shared)].tolist():
+                if root[x] != root[y]:
+                    root[root == root[y]] = root[x]
+                    a.append(node[x])
+                    b.append(node[y])
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return _grouped(3, work)
+
+
+def _parted(rows: DataFrame) -> DataFrame:
+    """Rows with blocks: each row goes to the pairs of blocks that its own is part of, as i, j, side."""
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    to = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j"), F.when(o == F.col("own"), 0).when(F.col("own") < o, 1).otherwise(2).alias("side")))
+    return rows.withColumn("t", F.explode(to))
+
+
+def _shingle_sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """id, shingles of the documents in wanted (id). Only their texts move."""
     few = wanted.count() <= MOST_BROADCAST
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), text_bytes(text_col).alias("raw")).join(F.broadcast(wanted) if few else wanted, "id", "left_semi")
 
@@ -169,9 +227,13 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(raw, words, width).tobytes() for raw in batch.column(1).to_pylist()], pa.binary())], ["id", "shingles"])
 
-    full = texts.filter(F.octet_length("raw") > 0).mapInArrow(sets, "id bigint, shingles binary").filter(F.octet_length("shingles") > 0).distinct()
-    full = stored(full, "shingle-sets")
-    del spark
+    return stored(texts.mapInArrow(sets, "id bigint, shingles binary").filter(F.octet_length("shingles") > 0).distinct(), "shingle-sets")
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int, width: int, id_col: str, text_col: str) -> DataFrame:
+    """The pairs (a, b) whose full sets are alike enough."""
+    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    full = _shingle_sets(docs, wanted, width, id_col, text_col)
 
     def verify(batches):
         for batch in batches:
@@ -209,7 +271,7 @@ def _close(pairs: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(far, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, most_distance: int = GUARANTEED + 4, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, most_distance: int = GUARANTEED + 2, block: int = BLOCK, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_shingles, component_id, kept, one row per row of docs.
 
     Links: 100 * intersection >= percent * union of the sets of width-word shingles. Pairs within GUARANTEED differing
@@ -226,8 +288,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, most_dis
     larger = buckets.filter("size > 2")
     members = stored(keys.join(larger.select("key", "a"), "key"), "members")
     stars = buckets.filter("size = 2").select("a", "b").unionByName(members.filter("node <> a").select("a", F.col("node").alias("b"))).distinct()
-    discard_later = [buckets]
-    links = _confirmed(stored(_close(stars, nodes, most_distance), "stars"), docs, nodes, percent, width, id_col, text_col)
+    links = _confirmed(stored(_close(stars, nodes, most_distance), "stars"), docs, percent, width, id_col, text_col)
     # a document whose rows have several texts ties their sets together
     reps = nodes.select("digest", "node")
     tied = rows.filter("n > 0").select("id", "digest").join(reps, "digest").groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.collect_set("node").alias("all")).filter("a < b or b > id")
@@ -237,16 +298,20 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, most_dis
     placed = members.join(first, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
     placed = stored(placed, "placed")
     open_ = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo < hi").select("key", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
-    spread = placed.join(open_, "key").join(nodes.select("node", "sig"), "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    to = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j"), F.when(o == F.col("own"), 0).when(F.col("own") < o, 1).otherwise(2).alias("side")))
-    spread = spread.withColumn("t", F.explode(to)).select("key", "t.i", "t.j", "t.side", "node", "comp", "sig")
-    more = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_search_blocks(most_distance), "a bigint, b bigint").distinct()
-    again = _confirmed(stored(more, "late-pairs"), docs, nodes, percent, width, id_col, text_col)
+    parts = _parted(placed.join(open_, "key").join(nodes.select("node", "sig"), "node")).select("key", "t.i", "t.j", "t.side", "node", "comp", "sig")
+    forest = parts.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_forests(most_distance), "a bigint, b bigint").distinct()
+    family = stored(components(forest).select("node", F.col("component").alias("family")), "families")
+    own = family.join(first, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+    own = own.join(nodes.select("node", "sig"), "node").join(_shingle_sets(docs, family.select(F.col("node").alias("id")), width, id_col, text_col).withColumnRenamed("id", "node"), "node")
+    own = stored(own, "family-sets")
+    sizes = own.groupBy("family").agg(F.ceil(F.sum(F.octet_length("shingles")) / block_bytes).cast("int").alias("blocks"))
+    parts = _parted(own.join(sizes, "family")).select("family", "t.i", "t.j", "t.side", "node", "comp", "sig", "shingles")
+    again = stored(parts.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(_links_within(most_distance, percent), "a bigint, b bigint").distinct(), "late-links")
     if again.limit(1).count():
         final = stored(components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(again)), "components")
     else:
         final = first
-    discard(members, placed, *discard_later)
+    discard(members, placed, buckets, family, own, again, links)
     whole = rows.join(reps, "digest", "left").join(final, "node", "left")
     component = F.coalesce("component", "node", "id")
     return whole.select(

@@ -83,7 +83,7 @@ def test_near_duplicates_against_all_pairs(spark):
         add(base)
     rows += [(5000, None), (5001, ""), (5002, " \n"), (5003, "one two"), (5004, "ONE two"), (5005, "one two three")]
     check(spark, rows)
-    check(spark, rows, block=16)
+    check(spark, rows, block=16, block_bytes=20_000)
 
 
 def test_shared_ids_nulls_and_repeats(spark):
