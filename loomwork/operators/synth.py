@@ -42,8 +42,9 @@ def snippet(seed: int, most_lines: int = 10, least_lines: int = 5, depth: int =
         assign(level)
         while len(lines) < room:
             if level < depth and known and len(lines) + 2 <= room and rng.random() < 0.3:
-                if loops and rng.random() < 0.4:
-                    name = next(c for c in "ijkuvw" if c not in known)
+                fresh = [c for c in "ijkuvwxyzabcdefghlmnopqrst" if c not in known]
+                if loops and fresh and rng.random() < 0.4:
+                    name = fresh[0]
                     lines.append("\t" * level + f"for {name} in range({rng.randint(1, 3)}):")
                     known.append(name)
                     loop_names.add(name)
