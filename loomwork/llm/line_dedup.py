@@ -14,24 +14,38 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import NULL_ID, WHITE, lower_ascii, stored
+from loomwork.llm.common import NULL_ID, stored
 
 _PLACE = "h1 bigint, h2 bigint, doc bigint, body bigint, pos int, n_lines int"
 
 
-def line_key(line: Column) -> Column:
-    return lower_ascii(F.btrim(line, F.lit(WHITE)))
-
-
 def _keyed(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
     """A row is known by its id and a hash of its text: repeated rows are alike, rows that share an id aren't mixed up."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64(text).alias("body"), text.alias("text"), F.col(id_col).alias("given_id"), F.struct(*carry).alias("carried") if carry else F.lit(None).cast("int").alias("carried"))
 
 
+def _line_hashes(batches):
+    """(128-bit hash of the key, document, position) of each line with a key. bytes.strip() and lower() know ASCII only."""
+    import xxhash
+
+    for batch in batches:
+        digests, at, pos, sizes = [], [], [], []
+        for i, raw in enumerate(batch.column(2).to_pylist()):
+            lines = raw.split(b"\n")
+            sizes.append(len(lines))
+            keys = [(k, key) for k, line in enumerate(lines) if (key := line.strip())]
+            digests += [xxhash.xxh3_128_digest(key.lower()) for _, key in keys]
+            pos += [k for k, _ in keys]
+            at += [i] * len(keys)
+        h, at = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2), np.array(at, np.int64)
+        doc, body = (batch.column(k).to_numpy()[at] for k in (0, 1))
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (h[:, 0], h[:, 1], doc, body, np.array(pos, np.int32), np.array(sizes, np.int32)[at])], ["h1", "h2", "doc", "body", "pos", "n_lines"])
+
+
 def _stream(min_docs: int):
     """Streams rows sorted by hash, document, position. kind 0: drop this line. kind 1: drop it if its hash
     is found common. kind 2: documents counted here for a hash that other tasks may hold too."""
@@ -116,14 +130,7 @@ def line_keep_bitmaps(docs: DataFrame, min_docs: int = 10, id_col: str = "doc_id
     with 1 for lines that stay, in order. Documents are known by id: rows that share an id count
     once; null ids count as one document. Null and empty texts are one empty line, which always stays."""
     spark = docs.sparkSession
-    lines = F.split(F.col("text"), "\n", -1)
-    places = (
-        _keyed(docs, id_col, text_col)
-        .select("doc", "body", F.size(lines).alias("n_lines"), F.posexplode(lines).alias("pos", "line"))
-        .select("doc", "body", "n_lines", "pos", line_key(F.col("line")).alias("key"))
-        .filter("key <> ''")
-        .select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"), "doc", "body", "pos", "n_lines")
-    )
+    places = _keyed(docs, id_col, text_col).select("doc", "body", F.col("text").cast("binary").alias("raw")).mapInArrow(_line_hashes, _PLACE)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = places.repartitionByRange(n, "h1", "h2", "doc").sortWithinPartitions("h1", "h2", "doc", "body", "pos")
     found = stored(dealt.mapInArrow(_stream(min_docs), f"kind int, {_PLACE}, n_docs bigint"), "line-places")
