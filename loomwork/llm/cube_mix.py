@@ -20,7 +20,7 @@ from loomwork.llm.common import discard, stored, word_count
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
 #: Documents in a block of the flight phase (on average).
-BLOCK = 20_000
+BLOCK = 2_000
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
