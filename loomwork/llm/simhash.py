@@ -96,7 +96,7 @@ def fingerprints_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: s
     before = [(head, heads[k - 1][0]) for k, (_, head) in enumerate(heads)]
     copy = F.try_element_at(F.create_map(*(F.lit(x).cast("long") if i % 2 == 0 else F.lit(x) for pair in before for i, x in enumerate(pair))), F.col("id")) if before else F.lit(None).cast("int")
     places = F.array_compact(F.array(F.struct(where.alias("part"), F.lit(0).alias("extra")), F.when(copy.isNotNull(), F.struct(copy.alias("part"), F.lit(1).alias("extra")))))
-    dealt = base.withColumn("p", F.explode(places)).select("given", "text", "p.part", "p.extra", "id").repartition(max(len(heads), 1), "part").sortWithinPartitions("part", "extra", F.desc("id"), "text")
+    dealt = base.withColumn("p", F.explode(places)).select("given", "text", "p.part", "p.extra", "id").repartitionById(max(len(heads), 1), F.col("part")).sortWithinPartitions("part", "extra", F.desc("id"), "text")
 
     names = [id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
