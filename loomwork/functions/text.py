@@ -86,9 +86,12 @@ def identifiers(code: Column, reserved: list[str] = RESERVED) -> Column:
 
 
 def rename(code: Column, names: Column) -> Column:
-    """Replaces whole words by a map, all at once: word and other runs are mapped and put together again."""
+    """Replaces whole words by a map, all at once: word and other runs are mapped and put together again.
+
+    Give names as a column that a select has made: an expression would be built anew for each word."""
     runs = F.regexp_extract_all(code, F.lit("[A-Za-z0-9_]+|[^A-Za-z0-9_]+"), F.lit(0))
-    return F.array_join(F.transform(runs, lambda w: F.coalesce(F.try_element_at(names, w), w)), "")
+    mapped = F.array_join(F.transform(runs, lambda w: F.coalesce(F.try_element_at(names, w), w)), "")
+    return F.when(F.size(names) > 0, mapped).otherwise(code)
 
 
 def u01(*parts: Column | str | int) -> Column:

@@ -38,8 +38,8 @@ class Vocabulary:
 
     @property
     def pattern(self) -> str:
-        """Any keyword, longest first, else one character that isn't a space."""
-        return "|".join(re.escape(k).replace("\\\n", "\n").replace("\\\t", "\t").replace("\\ ", " ").replace("\\#", "#").replace("\\&", "&") for k in self.keywords) + "|[^ ]"
+        """Any keyword, longest first, else one character that isn't a space; the latter covers keywords of one character."""
+        return "|".join(re.escape(k).replace("\\\n", "\n").replace("\\\t", "\t").replace("\\ ", " ").replace("\\#", "#").replace("\\&", "&") for k in self.keywords if len(k) > 1) + "|[^ ]"
 
     def id_map(self) -> Column:
         return F.create_map(*(F.lit(x) for kv in self.ids.items() for x in kv))

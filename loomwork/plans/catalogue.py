@@ -526,7 +526,8 @@ def rename_n(spark, sf_dir):
     """Four identifiers by hash order get new names, wherever they stand."""
     p = _picked(spark, sf_dir)
     new = F.transform("picked", lambda x, i: F.concat(F.lit("var_"), i.cast("string"), F.lit("_"), F.col("page_id").cast("string")))
-    return p.select("page_id", F.size("picked").cast("long").alias("num_renamed"), F.sha2(T.rename(F.col("code"), F.map_from_arrays("picked", new)), 256).alias("renamed"))
+    p = p.select("page_id", "code", F.size("picked").cast("long").alias("num_renamed"), F.map_from_arrays("picked", new).alias("names"))
+    return p.select("page_id", "num_renamed", F.sha2(T.rename(F.col("code"), F.col("names")), 256).alias("renamed"))
 
 
 @query(f"SELECT n.i AS n, round(avg(least(len(vars), n.i)), 8) AS avg_renamed FROM {IDENT}, (VALUES (1), (4), (8)) n(i) GROUP BY 1")
