@@ -118,10 +118,16 @@ def unit_vectors(sums: np.ndarray) -> np.ndarray:
 
 
 def pooled(ids: list[int], vectors: np.ndarray) -> np.ndarray:
-    if not ids:
-        return np.zeros(vectors.shape[1], np.float32)
-    rows, n = np.unique(np.array(ids), return_counts=True)
-    return (n.astype(np.float32) @ vectors[rows]) / np.float32(len(ids))
+    """The mean of the words' vectors, and how far the mean rests on few of them: its squared length in both halves, the sum of
+    squared shares of words, the largest share."""
+    out = np.zeros(vectors.shape[1] + 4, np.float32)
+    if ids:
+        rows, n = np.unique(np.array(ids), return_counts=True)
+        mean = (n.astype(np.float32) @ vectors[rows]) / np.float32(len(ids))
+        share = n / len(ids)
+        out[:-4] = mean
+        out[-4:] = (mean[:WIDTH] ** 2).sum(), (mean[WIDTH:] ** 2).sum(), (share**2).sum(), share.max()
+    return out
 
 
 @dataclass
@@ -195,8 +201,8 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED
     got = sorted(sample.mapInArrow(features, f"id {dict(sample.dtypes)['id']}, y int, x binary").collect(), key=lambda r: (zlib.crc32(str(r.id).encode()), str(r.id), r.x))
     y = np.array([r.y for r in got])
     if not len(got) or y.min() == y.max():
-        flat = np.zeros(2 * WIDTH)
-        return QualityModel(vectors, flat, flat + 1, np.zeros((2 * WIDTH, 1)), np.zeros(1), np.zeros(1), 0.0 if not len(got) else 6.0 if y[0] else -6.0, 1.0)
+        flat = np.zeros(2 * WIDTH + 4)
+        return QualityModel(vectors, flat, flat + 1, np.zeros((len(flat), 1)), np.zeros(1), np.zeros(1), 0.0 if not len(got) else 6.0 if y[0] else -6.0, 1.0)
     return fit_network(np.stack([np.frombuffer(r.x, np.float32) for r in got]).astype(float), y, vectors)
 
 
