@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from loomwork.functions import text as T
 from loomwork.functions.vocab import BASE, LEGACY, LOOPS
 from loomwork.operators import corpus as C
-from loomwork.operators import knn, names, synth
+from loomwork.operators import knn, names, rename, synth
 from loomwork.sources.scan import log_grid
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -657,3 +657,29 @@ def contiguous_windows(spark, sf_dir):
     b = t.withColumn("bounds", F.concat(F.array(F.lit(0)), T.boundaries(F.col("tok"))))
     w = synth.windows(b, 256)
     return w.select("ex_id", "start", F.sha2(F.array_join("x", ""), 256).alias("x_sha256"), F.size("y").alias("block"))
+
+
+@query()
+def permuted_programs(spark, sf_dir):
+    """Programs under eight distinct permutations of their names each."""
+    return rename.renamed_programs(synth.generate(spark, 200), 8).select("ex_id", "copy", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query(f"SELECT doc_id, sha256(coalesce(list_aggregate(list_transform(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_]+'), lambda w: CASE w WHEN 'a' THEN 'z' WHEN 'e' THEN 'a' WHEN 'y' THEN 'e' ELSE w END), 'string_agg', ''), '')) AS renamed FROM {DOCS}")
+def rename_letters(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", F.sha2(rename.rename_letters(F.col("text"), "aey", "zae"), 256).alias("renamed"))
+
+
+@query("SELECT conv_id, turn, p.text = 'x' AS odd, length(p.text) AS prompt_chars, length(r.text) AS reference_chars FROM conversations p JOIN (SELECT conv_id, turn - 1 AS turn, text FROM conversations WHERE role = 'assistant') r USING (conv_id, turn) WHERE p.role = 'user'")
+def prompt_reference_join(spark, sf_dir):
+    """Prompts beside their references: what is a pair by place elsewhere is a pair by key here."""
+    c = read(spark, sf_dir, "conversations")
+    r = c.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reference"))
+    return c.filter("role = 'user'").join(r, ["conv_id", "turn"]).select("conv_id", "turn", (F.col("text") == "x").alias("odd"), F.length("text").cast("long").alias("prompt_chars"), F.length("reference").cast("long").alias("reference_chars"))
+
+
+@query(f"SELECT n.i AS n, page_id, least(len(vars), n.i) AS num_renamed FROM {IDENT}, (VALUES (1), (4), (8)) n(i)")
+def renamed_sets(spark, sf_dir):
+    """For each N the number of identifiers that the renamed set changes."""
+    v = _code(spark, sf_dir).select("page_id", F.size(T.identifiers(F.col("code"))).alias("k"), F.explode(F.array(*map(F.lit, (1, 4, 8)))).alias("n"))
+    return v.select("n", "page_id", F.least("k", "n").cast("long").alias("num_renamed"))
