@@ -169,20 +169,30 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED
     per = sample.mapInArrow(counts, "f binary, a bigint, b bigint").groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     best = per.filter("a + b >= 4").withColumn("z", odds / F.sqrt(1 / a + 1 / b)).filter("abs(z) > 2.5").orderBy(F.desc(F.abs("z")), "f").limit(MOST_FEATURES).collect()
     index = {bytes(r.f): i for i, r in enumerate(best)}
-    rows = sample.mapInArrow(_seen(index), "y int, found array<int>, surface array<int>").collect()
+    rows = sample.mapInArrow(_seen(index), "y int, found array<int>, surface array<int>").toArrow().combine_chunks()
     discard(sample)
-    found = [np.array(sorted(r.found), np.int64) for r in rows]
-    y = np.array([r.y for r in rows])
+    places = rows.column("found").combine_chunks()
+    bounds, values = places.offsets.to_numpy(), places.values.to_numpy()
+    found = [np.sort(values[lo:hi]) for lo, hi in zip(bounds, bounds[1:])]
+    surface = rows.column("surface").combine_chunks().flatten().to_numpy().reshape(-1, len(PATTERNS))
+    y = rows.column("y").to_numpy()
     # voters: what is at least nine times likelier in toxic documents, most frequent first
     strong = sorted((r for r in best if r.z > 2 and (r.a + 0.5) / positive > 9 * (r.b + 0.5) / (size - positive)), key=lambda r: (-r.a, bytes(r.f)))
     voters = [index[bytes(r.f)] for kind, n in ((b"w", MOST_WORDS), (b"b", MOST_BEGINNINGS), (b"2", MOST_BEGINNINGS)) for r in [x for x in strong if bytes(x.f)[:1] == kind][:n]]
-    present = np.zeros((len(rows), len(best)), bool)
+    voter_of = np.full(len(best), -1)
+    voter_of[voters] = np.arange(len(voters))
+    lexicon = np.zeros((len(found), len(voters)), np.int64)
     for i, f in enumerate(found):
-        present[i, f] = True
-    lexicon = present[:, voters].astype(np.int64)
-    kinds = [[index[bytes(r.f)] for r in strong if bytes(r.f)[:1] == k] for k in (b"w", b"2")]
-    absent = [np.where(present[:, k].any(axis=1), 0, -1) if k else np.zeros(len(rows), np.int64) for k in (*kinds, kinds[0] + kinds[1])]
-    votes = np.concatenate([lexicon, np.stack(absent, axis=1), np.array([r.surface for r in rows])], axis=1)
+        at = voter_of[f]
+        lexicon[i, at[at >= 0]] = 1
+
+    def absence(kinds: bytes) -> np.ndarray:
+        """-1 where a document has no strong feature of these kinds; nobody votes if there are no such features."""
+        strong_of = np.zeros(len(best), bool)
+        strong_of[[index[bytes(r.f)] for r in strong if bytes(r.f)[:1] in kinds]] = True
+        return np.array([0 if strong_of[f].any() else -1 for f in found]) if strong_of.any() else np.zeros(len(found), np.int64)
+
+    votes = np.concatenate([lexicon, np.stack([absence(k) for k in (b"w", b"2", b"w2")], axis=1), surface], axis=1).astype(np.int64)
     model = LabelModel().fit(votes, y)
     weights, intercept = _logistic(found, model.posterior(votes, y), len(best))
     return ToxicityModel({f: float(weights[i]) for f, i in index.items()}, float(intercept), model)
