@@ -13,7 +13,7 @@ from loomwork.llm import bpe_tree, cube_mix, line_dedup, minhash_join, weak_toxi
 from loomwork.llm.common import discard, stored, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-TOXIC, COMMON_LINE, ALIKE_PERCENT = 0.7, 10, 85
+TOXIC, COMMON_LINE, ALIKE_PERCENT = 0.7, 10, 80
 
 
 def _with_key(docs: DataFrame) -> DataFrame:
@@ -36,7 +36,8 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the least id."""
+    """One document of each group (five-word shingles, a similarity of at least ALIKE_PERCENT) stays: the one with the
+    least id. Rows that share an id are one document and stay or go together; rows without an id stay."""
     marked = minhash_join.near_duplicates(docs, percent=ALIKE_PERCENT)
     gone = marked.filter("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)

@@ -18,6 +18,7 @@ No group becomes all its pairs:
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,10 @@ from loomwork.llm.simhash import WordHash, _mixed
 
 SYMBOLS, BITS, CHUNKS, ERRORS = 60, 16, 12, 1
 WIDE = SYMBOLS // CHUNKS
-#: All pairs up to this distance share a key. (At a similarity of 0.85 the mean distance is 9, the deviation 2.8.)
+#: All pairs up to this distance share a key. (At a similarity of 0.8 the mean distance is 12, the deviation 3.1.)
 GUARANTEED = CHUNKS * (ERRORS + 1) - 1
+#: A pair at the threshold is farther than the distance looked at with this probability, at most.
+MISS = 1e-7
 #: Rows of a bucket's part; bytes of shingle sets of a family's part.
 BLOCK, BLOCK_BYTES = 4096, 16_000_000
 #: Node ids up to this number are broadcast (8 MB at most); more go through a shuffle join.
@@ -64,6 +67,16 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return (_mixed(least) >> np.uint64(64 - BITS)).astype(np.uint16)
 
 
+def distance_for(percent: int) -> int:
+    """The distance to look at for a similarity: GUARANTEED, or more if MISS asks for it."""
+    p, far = 1 - percent / 100, 1.0
+    for d in range(SYMBOLS + 1):
+        far -= math.comb(SYMBOLS, d) * p**d * (1 - p) ** (SYMBOLS - d)
+        if far <= MISS:
+            return max(d, GUARANTEED)
+    return SYMBOLS
+
+
 def chunk_keys(sig: np.ndarray) -> np.ndarray:
     """[n, SYMBOLS] keys of [n, SYMBOLS] signatures: one for each chunk and place left out."""
     x = sig.reshape(len(sig), CHUNKS, 1, WIDE).astype(np.uint64)
@@ -271,15 +284,16 @@ def _close(pairs: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(far, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, most_distance: int = GUARANTEED + 2, block: int = BLOCK, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, most_distance: int | None = None, block: int = BLOCK, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_shingles, component_id, kept, one row per row of docs.
 
     Links: 100 * intersection >= percent * union of the sets of width-word shingles. Pairs within GUARANTEED differing
-    symbols always become candidates, those up to most_distance if they share a key (they do but for a chance of about 1e-9
-    at the threshold); every candidate is confirmed on full sets. component_id: the least id reachable.
+    symbols always become candidates, those up to most_distance (distance_for(percent) unless given) if they share a key (they
+    do but for a chance of 1e-7 at a similarity of 0.8); every candidate is confirmed on full sets. component_id: the least id reachable.
     Texts without words are linked with nothing. Rows that share an id are one document: their links are joined. Null ids
     are one document, less than all others (component_id null). Repeated rows are returned each;
     empty tables give empty tables; other columns are not read."""
+    most_distance = distance_for(percent) if most_distance is None else most_distance
     rows = stored(_profiles(docs, width, id_col, text_col), "profiles")
     nodes = stored(rows.filter("n > 0").groupBy("digest").agg(F.min("id").alias("node"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("rows")), "nodes")
     keys = _keys(nodes)

@@ -32,10 +32,10 @@ def brute(rows, percent=85, width=5):
     return sorted(((i, len(s), None if (c := comp[low if i is None else i]) == low else c, c == (low if i is None else i)) for i, s in sets), key=str)
 
 
-def check(spark, rows, **k):
+def check(spark, rows, percent=80, **k):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 as n", "'x' as digest", "2 as node", "3 as n_shingles")
-    got = sorted((tuple(r) for r in M.near_duplicates(docs, **k).collect()), key=str)
-    assert got == brute(rows)
+    got = sorted((tuple(r) for r in M.near_duplicates(docs, percent, **k).collect()), key=str)
+    assert got == brute(rows, percent)
 
 
 def test_components_of_chains_stars_and_cycles(spark):
@@ -56,6 +56,10 @@ def test_pairs_under_the_distance_share_a_key():
     assert all(set(x) & set(y) for x, y in zip(M.chunk_keys(a), M.chunk_keys(b)))
 
 
+def test_distance_follows_from_the_similarity():
+    assert [M.distance_for(p) for p in (95, 85, 80)] == [M.GUARANTEED, 26, 30] and M.distance_for(0) == M.SYMBOLS
+
+
 def test_near_duplicates_against_all_pairs(spark):
     rng = random.Random(3)
     vocabulary = [f"w{i}" for i in range(400)]
@@ -83,6 +87,7 @@ def test_near_duplicates_against_all_pairs(spark):
         add(base)
     rows += [(5000, None), (5001, ""), (5002, " \n"), (5003, "one two"), (5004, "ONE two"), (5005, "one two three")]
     check(spark, rows)
+    check(spark, rows, 85)
     check(spark, rows, block=16, block_bytes=20_000)
 
 
