@@ -97,4 +97,9 @@ def rename(code: Column, names: Column) -> Column:
 def u01(*parts: Column | str | int) -> Column:
     """A number in [0, 1) from a hash of the parts: the same for any partitioning."""
     text = F.concat_ws(":", *(p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts))
-    return F.conv(F.substring(F.sha2(text, 256), 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
+    return u01_of(F.sha2(text, 256))
+
+
+def u01_of(digest: Column, k: int = 0) -> Column:
+    """The k-th number (0 to 3) in [0, 1) of a hexadecimal SHA-256: 13 digits each."""
+    return F.conv(F.substring(digest, 13 * k + 1, 13), 16, 10).cast("double") / F.lit(float(16**13))

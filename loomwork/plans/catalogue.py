@@ -67,10 +67,9 @@ def vocab_unknown(spark, sf_dir):
     return tok.select("doc_id", F.size(F.filter("tok", lambda t: ~t.isin(*BASE.keywords))).cast("long").alias("n_unknown"), T.is_covered(F.col("tok")).alias("status"))
 
 
-@query(f"SELECT doc_id, list_transform({TOK}, lambda t: {IDS}[t]) AS ids FROM (SELECT doc_id, substr(text, 1, 400) AS text FROM documents WHERE text IS NOT NULL)")
+@query(f"SELECT doc_id, list_transform({TOK}, lambda t: {IDS}[t]) AS ids FROM {DOCS}")
 def encode_ids(spark, sf_dir):
-    # the head of each text: ids of whole texts are what tokenize_count counts
-    return docs(spark, sf_dir).select("doc_id", T.token_ids(T.tokens(F.substring("text", 1, 400))).alias("ids"))
+    return docs(spark, sf_dir).select("doc_id", T.token_ids(T.tokens(F.col("text"))).alias("ids"))
 
 
 @query(f"SELECT doc_id, sha256(list_aggregate(list_filter({TOK}, lambda t: list_contains({KNOWN}, t)), 'string_agg', '')) AS joined_sha256 FROM {DOCS} WHERE len(list_filter({TOK}, lambda t: list_contains({KNOWN}, t))) > 0")
@@ -108,10 +107,10 @@ def line_stats(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.size(lines).cast("long").alias("n_lines"), F.size(F.filter(lines, lambda x: F.trim(x) != "")).cast("long").alias("n_filled"), F.sha2(T.indent(F.col("text")), 256).alias("indented"))
 
 
-@query(f"SELECT doc_id, ([-1] || ids[1:30] || [-2]) || list_resize([]::INT[], 32 - 2 - least(len(ids), 30), -3) AS padded FROM (SELECT doc_id, list_transform({TOK}, lambda t: coalesce({IDS}[t], 99)) AS ids FROM (SELECT doc_id, substr(text, 1, 60) AS text FROM {DOCS}))")
+@query(f"SELECT doc_id, ([-1] || ids[1:30] || [-2]) || list_resize([]::INT[], 32 - 2 - least(len(ids), 30), -3) AS padded FROM (SELECT doc_id, list_transform({TOK}, lambda t: coalesce({IDS}[t], 99)) AS ids FROM {DOCS})")
 def padded_ids(spark, sf_dir):
     """Start and end marks around at most 30 ids, padded to 32."""
-    ids = docs(spark, sf_dir).select("doc_id", F.transform(T.token_ids(T.tokens(F.substring("text", 1, 60))), lambda i: F.coalesce(i, F.lit(99))).alias("ids"))
+    ids = docs(spark, sf_dir).select("doc_id", F.transform(T.token_ids(T.tokens(F.col("text"))), lambda i: F.coalesce(i, F.lit(99))).alias("ids"))
     body = F.slice("ids", 1, 30)
     return ids.select("doc_id", F.concat(F.array(F.lit(-1)), body, F.array(F.lit(-2)), F.array_repeat(F.lit(-3), F.lit(30) - F.size(body))).alias("padded"))
 
@@ -129,17 +128,25 @@ STEPS = "replace(text, '. ', chr(10) || '#STEP' || chr(10))"
 FIRST = f"(SELECT doc_id, text FROM {DOCS} QUALIFY row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) = 1)"
 
 
+def as_steps():
+    return F.replace("text", F.lit(". "), F.lit("\n#STEP\n"))
+
+
 def stepped(spark, sf_dir):
     """Documents with sentence ends as step marks, standing in for traces."""
-    return docs(spark, sf_dir).select("doc_id", F.replace("text", F.lit(". "), F.lit("\n#STEP\n")).alias("text"))
+    return docs(spark, sf_dir).select("doc_id", as_steps().alias("text"))
 
 
-@query(f"""WITH d AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS rn FROM (SELECT doc_id, len({TOK}) AS n FROM {FIRST}) WHERE n <= 20000)
+@query(f"""WITH t AS (SELECT doc_id, {TOK} AS tok FROM (SELECT doc_id, {STEPS} AS text FROM {FIRST})),
+b AS (SELECT doc_id, len(tok) AS n, list_filter(range(0, len(tok)), lambda i: tok[i + 1] = chr(10) || '#STEP' || chr(10)) || [len(tok)] AS b FROM t),
+d AS (SELECT doc_id, n, row_number() OVER (ORDER BY doc_id) AS rn FROM b WHERE len(list_filter(range(2, len(b)), lambda i: b[i + 1] - b[i - 1] > 512)) = 0)
 SELECT CASE WHEN rn <= 100 THEN 'test' WHEN rn <= 200 THEN 'val' ELSE 'train' END AS split, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens, max(n) AS max_tokens FROM d GROUP BY 1""")
 def corpus_slice(spark, sf_dir):
-    """The flagship: dedup, tokenise, length filter, ordinal split, statistics."""
-    first = C.dedup_keep_first(docs(spark, sf_dir).select("doc_id", "text"))
-    sized = first.select("doc_id", F.size(T.tokens(F.col("text"))).cast("long").alias("n")).filter("n <= 20000").persist()
+    """The flagship: dedup, tokenise, determinism filter, ordinal split, statistics."""
+    first = C.dedup_keep_first(docs(spark, sf_dir).select("doc_id", "text")).select("doc_id", as_steps().alias("text"))
+    tok = first.select("doc_id", T.tokens(F.col("text")).alias("tok"))
+    cut = tok.select("doc_id", F.size("tok").cast("long").alias("n"), T.boundaries(F.col("tok")).alias("bounds"))
+    sized = cut.filter(~F.exists(T.two_back_spans(F.col("bounds")), lambda x: x > 512)).select("doc_id", "n").persist()
     ranked, _ = C.with_ordinal(sized, "doc_id")
     split = F.when(F.col("rn") <= 100, "test").when(F.col("rn") <= 200, "val").otherwise("train")
     return ranked.groupBy(split.alias("split")).agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n_tokens"), F.max("n").alias("max_tokens"))
@@ -342,10 +349,10 @@ def windows_with_replacement(spark, sf_dir):
     return d.select("doc_id", "draw", F.floor(T.u01(12, F.col("doc_id"), F.col("draw")) * F.greatest(F.lit(1), F.col("n") - 32)).alias("start"))
 
 
-@query(f"SELECT doc_id, x, y, mask_from FROM (SELECT doc_id, tok[1:24] || list_resize([]::VARCHAR[], 24 - least(len(tok), 24), 'PAD') AS x, tok[2:25] || list_resize([]::VARCHAR[], 24 - least(greatest(len(tok) - 1, 0), 24), 'PAD') AS y, CAST(coalesce(list_position(tok[1:24], chr(10) || '#STEP' || chr(10)), 0) - 1 AS INT) AS mask_from FROM (SELECT doc_id, {TOK} AS tok FROM (SELECT doc_id, substr({STEPS}, 1, 90) AS text FROM {DOCS})))")
+@query(f"SELECT doc_id, x, y, mask_from FROM (SELECT doc_id, tok[1:24] || list_resize([]::VARCHAR[], 24 - least(len(tok), 24), 'PAD') AS x, tok[2:25] || list_resize([]::VARCHAR[], 24 - least(greatest(len(tok) - 1, 0), 24), 'PAD') AS y, CAST(coalesce(list_position(tok[1:24], chr(10) || '#STEP' || chr(10)), 0) - 1 AS INT) AS mask_from FROM (SELECT doc_id, {TOK} AS tok FROM (SELECT doc_id, {STEPS} AS text FROM {DOCS})))")
 def window_pairs(spark, sf_dir):
     """The first window of 24 tokens, the same moved on by one, and where the mask begins."""
-    tok = stepped(spark, sf_dir).select("doc_id", T.tokens(F.substring("text", 1, 90)).alias("tok"))
+    tok = stepped(spark, sf_dir).select("doc_id", T.tokens(F.col("text")).alias("tok"))
     pad = lambda c: F.concat(c, F.array_repeat(F.lit("PAD"), F.lit(24) - F.size(c)))
     x, y = F.slice("tok", 1, 24), F.slice("tok", 2, 24)
     return tok.select("doc_id", pad(x).alias("x"), pad(y).alias("y"), (F.array_position(x, BASE.boundary) - 1).cast("int").alias("mask_from"))
@@ -543,29 +550,36 @@ def identifier_mask(spark, sf_dir):
     return _picked(spark, sf_dir).select("page_id", F.when(F.size("picked") > 0, F.size(F.filter(tok, lambda w: F.array_contains("picked", w)))).otherwise(0).cast("long").alias("n_masked"), F.size(tok).cast("long").alias("n_tok"))
 
 
-MLM_TOK = f"(SELECT doc_id, list_transform({TOK}, lambda t: coalesce({IDS}[t], 99)) AS ids FROM (SELECT doc_id, substr(text, 1, 80) AS text FROM {DOCS}))"
+MLM_TOK = f"(SELECT doc_id, list_transform({TOK}, lambda t: coalesce({IDS}[t], 99)) AS ids FROM {DOCS})"
+
+
+def _drawn(spark, sf_dir, seed):
+    """doc_id, ids of whole texts, and a hash for each id, from which numbers in [0, 1) are cut where they are asked for."""
+    ids = docs(spark, sf_dir).select("doc_id", F.transform(T.token_ids(T.tokens(F.col("text"))), lambda i: F.coalesce(i, F.lit(99))).alias("ids"))
+    prefix = F.concat(F.lit(f"{seed}:"), F.col("doc_id").cast("string"), F.lit(":"))
+    return ids.select("doc_id", "ids", prefix.alias("prefix")).select("doc_id", "ids", F.transform("ids", lambda x, i: F.sha2(F.concat(F.col("prefix"), i.cast("string")), 256)).alias("hs"))
 
 
-def _mlm(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", F.transform(T.token_ids(T.tokens(F.substring("text", 1, 80))), lambda i: F.coalesce(i, F.lit(99))).alias("ids"))
+def _drawn_sql(seed):
+    return f"(SELECT doc_id, ids, list_transform(range(0, len(ids)), lambda i: sha256('{seed}:' || doc_id || ':' || i)) AS hs FROM {MLM_TOK})"
 
 
-def _u_sql(seed):
-    return U01.format(f"'{seed}:' || doc_id || ':' || i")
+def _cut(k):
+    """The k-th number of a hash in SQL."""
+    return f"(('0x' || substr(hs[i + 1], {13 * k + 1}, 13))::BIGINT / 4503599627370496.0)"
 
 
-@query(f"SELECT doc_id, list_transform(range(0, len(ids)), lambda i: CASE WHEN {_u_sql(21)} >= 0.15 THEN ids[i + 1] WHEN {_u_sql(22)} < 0.8 THEN 100 WHEN {_u_sql(22)} < 0.9 THEN CAST(floor({_u_sql(23)} * 52) AS INT) ELSE ids[i + 1] END) AS masked, list_transform(range(0, len(ids)), lambda i: CASE WHEN {_u_sql(21)} < 0.15 THEN ids[i + 1] ELSE -100 END) AS labels FROM {MLM_TOK}")
+@query(f"SELECT doc_id, list_transform(range(0, len(ids)), lambda i: CASE WHEN {_cut(0)} >= 0.15 THEN ids[i + 1] WHEN {_cut(1)} < 0.8 THEN 100 WHEN {_cut(1)} < 0.9 THEN CAST(floor({_cut(2)} * 52) AS INT) ELSE ids[i + 1] END) AS masked, list_transform(range(0, len(ids)), lambda i: CASE WHEN {_cut(0)} < 0.15 THEN ids[i + 1] ELSE -100 END) AS labels FROM {_drawn_sql(21)}")
 def mlm_mask(spark, sf_dir):
     """15 % are to be told; of these 80 % are hidden, 10 % are another token, 10 % stay."""
-    u = lambda s, i: T.u01(s, F.col("doc_id"), i)
-    masked = F.transform("ids", lambda x, i: F.when(u(21, i) >= 0.15, x).when(u(22, i) < 0.8, F.lit(100)).when(u(22, i) < 0.9, F.floor(u(23, i) * 52).cast("int")).otherwise(x))
-    return _mlm(spark, sf_dir).select("doc_id", masked.alias("masked"), F.transform("ids", lambda x, i: F.when(u(21, i) < 0.15, x).otherwise(-100)).alias("labels"))
+    told = lambda x, h: F.when(T.u01_of(h, 1) < 0.8, F.lit(100)).when(T.u01_of(h, 1) < 0.9, F.floor(T.u01_of(h, 2) * 52).cast("int")).otherwise(x)
+    pair = F.zip_with("ids", "hs", lambda x, h: F.when(T.u01_of(h) < 0.15, F.struct(told(x, h).alias("m"), x.alias("l"))).otherwise(F.struct(x.alias("m"), F.lit(-100).alias("l"))))
+    return _drawn(spark, sf_dir, 21).select("doc_id", pair.alias("p")).select("doc_id", F.col("p.m").alias("masked"), F.col("p.l").alias("labels"))
 
 
-@query(f"SELECT doc_id, list_transform(range(0, len(ids)), lambda i: CASE WHEN {_u_sql(24)} < 0.15 AND CAST(floor({_u_sql(25)} * 52) AS INT) <> ids[i + 1] THEN 1 ELSE 0 END) AS is_replaced FROM {MLM_TOK}")
+@query(f"SELECT doc_id, list_transform(range(0, len(ids)), lambda i: CASE WHEN {_cut(0)} < 0.15 AND CAST(floor({_cut(1)} * 52) AS INT) <> ids[i + 1] THEN 1 ELSE 0 END) AS is_replaced FROM {_drawn_sql(24)}")
 def replaced_tokens(spark, sf_dir):
-    u = lambda s, i: T.u01(s, F.col("doc_id"), i)
-    return _mlm(spark, sf_dir).select("doc_id", F.transform("ids", lambda x, i: ((u(24, i) < 0.15) & (F.floor(u(25, i) * 52).cast("int") != x)).cast("int")).alias("is_replaced"))
+    return _drawn(spark, sf_dir, 24).select("doc_id", F.zip_with("ids", "hs", lambda x, h: ((T.u01_of(h) < 0.15) & (F.floor(T.u01_of(h, 1) * 52).cast("int") != x)).cast("int")).alias("is_replaced"))
 
 
 # -- reports -------------------------------------------------------------------------------------
