@@ -115,6 +115,14 @@ def padded_ids(spark, sf_dir):
     return ids.select("doc_id", F.concat(F.array(F.lit(-1)), body, F.array(F.lit(-2)), F.array_repeat(F.lit(-3), F.lit(30) - F.size(body))).alias("padded"))
 
 
+@query(f"SELECT doc_id, ([-1] || ids[1:398] || [-2]) || list_resize([]::INT[], 400 - 2 - least(len(ids), 398), -3) AS padded FROM (SELECT doc_id, list_transform({TOK}, lambda t: coalesce({IDS}[t], 99)) AS ids FROM {DOCS})")
+def padded_blocks(spark, sf_dir):
+    """padded_ids at the reference's block: marks around at most 398 ids, padded to 400."""
+    ids = docs(spark, sf_dir).select("doc_id", F.transform(T.token_ids(T.tokens(F.col("text"))), lambda i: F.coalesce(i, F.lit(99))).alias("ids"))
+    body = F.slice("ids", 1, 398)
+    return ids.select("doc_id", F.concat(F.array(F.lit(-1)), body, F.array(F.lit(-2)), F.array_repeat(F.lit(-3), F.lit(398) - F.size(body))).alias("padded"))
+
+
 @query("SELECT doc_id, n_records, n_kept FROM (SELECT doc_id, len(string_split(text, chr(10) || chr(10))) AS n_records, len(list_filter(string_split(text, chr(10) || chr(10)), lambda r: regexp_replace(r, '^\\s+|\\s+$', '', 'g') <> '')) AS n_kept FROM documents WHERE text IS NOT NULL)")
 def record_scan(spark, sf_dir):
     """Blank-line records of each text: all, and those that are not empty when stripped."""
@@ -358,6 +366,17 @@ def window_pairs(spark, sf_dir):
     return tok.select("doc_id", pad(x).alias("x"), pad(y).alias("y"), (F.array_position(x, BASE.boundary) - 1).cast("int").alias("mask_from"))
 
 
+@query(f"SELECT doc_id, start, tok[start + 1:start + 512] || list_resize([]::VARCHAR[], 512 - len(tok[start + 1:start + 512]), 'PAD') AS x, tok[start + 2:start + 513] || list_resize([]::VARCHAR[], 512 - len(tok[start + 2:start + 513]), 'PAD') AS y, CAST(coalesce(list_position(tok[start + 1:start + 512], chr(10) || '#STEP' || chr(10)), 0) - 1 AS INT) AS mask_from FROM (SELECT doc_id, tok, unnest(range(0, greatest(len(tok), 1), 512)) AS start FROM (SELECT doc_id, {TOK} AS tok FROM (SELECT doc_id, {STEPS} AS text FROM {DOCS})))")
+def text_windows(spark, sf_dir):
+    """Windows of 512 tokens, the reference's block, one after the other over the whole text: where each starts, the same
+    moved on by one, and where the mask begins (-1: no step mark in the window). A text without tokens gives one of pads."""
+    tok = stepped(spark, sf_dir).select("doc_id", T.tokens(F.col("text")).alias("tok"))
+    cut = tok.select("doc_id", "tok", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.size("tok") - 1, F.lit(0)).cast("long"), F.lit(512).cast("long"))).alias("start"))
+    pairs = cut.select("doc_id", "start", *(F.slice("tok", (F.col("start") + k).cast("int"), F.lit(512)).alias(n) for k, n in ((1, "x"), (2, "y"))))
+    pad = lambda c: F.concat(c, F.array_repeat(F.lit("PAD"), F.lit(512) - F.size(c)))
+    return pairs.select("doc_id", "start", pad("x").alias("x"), pad("y").alias("y"), (F.array_position("x", BASE.boundary) - 1).cast("int").alias("mask_from"))
+
+
 @query("SELECT conv_id, turn, r.i AS copy FROM conversations, range(0, 8) r(i)")
 def replicate(spark, sf_dir):
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("copy"))
