@@ -4,16 +4,24 @@ P(word | class before) = P(class | class before) * P(word | class). The emission
 class in the smoothed unigram distribution u(w) = (c + 0.1) / (N + 0.1 (V + 1)), so a text's score is its unigram
 score plus the sum over tokens of log10(transition / class mass).
 
-Units of clustering: the most frequent words, and for all others groups by their ending; their number is fixed. Class
-counts, word counts and the counts of unit pairs cover the whole training corpus. The word table may be of any size: it stays
-a table in the shared folder, and a text's less frequent words meet their counts in a join.
+Clustering begins with the most frequent words and, for all others, groups by their ending: exchange until none moves.
+Then every further word with a count of at least LEAST gets a unit of its own, so units grow with the corpus. It begins in
+its group's class; how often it has neighbours of each class, on either side, is counted over the corpus, and all such words go to
+the class that fits their neighbours best, sweep by sweep until none moves. In these sweeps a neighbour counts by the class
+it has before them. Groups by ending are left to words below LEAST and to those that training doesn't have. Class transitions
+are then counted over the corpus by the final classes.
+
+Executors know the further words by 64-bit hashes (9 bytes a word with the class). The word table may be of any size: it
+stays a table in the shared folder, and a text's less frequent words meet their counts in a join.
 """
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections import Counter
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -28,26 +36,41 @@ FREQUENT, ENDINGS = 2047, 1024
 UNITS = FREQUENT + ENDINGS + 1
 #: The unit that ends a text and stands before its first word.
 END = UNITS - 1
-CLASSES, SWEEPS, SLICES, PRIOR = 64, 3, 16, 5.0
+CLASSES, SLICES, PRIOR = 64, 16, 5.0
+#: Least count of a word with a unit of its own beyond the most frequent ones; such words in a slice of their contexts.
+LEAST, SPAN = 10, 8192
 
 
 class UnitOf(dict):
-    """The unit of a word."""
+    """The unit of a word. grown: sorted hashes of the words that have units from UNITS on."""
 
-    def __init__(self, frequent: list[bytes], most: int = 500_000):
+    def __init__(self, frequent: list[bytes], grown: np.ndarray | None = None, most: int = 500_000):
         super().__init__()
-        self.known, self.most = {w: i for i, w in enumerate(frequent)}, most
+        self.known, self.grown, self.most = {w: i for i, w in enumerate(frequent)}, grown if grown is not None and len(grown) else None, most
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.most:
             self.clear()
         unit = self.known.get(word)
+        if unit is None and self.grown is not None:
+            h = word_hash(word)
+            at = int(self.grown.searchsorted(h))
+            if at < len(self.grown) and self.grown[at] == h:
+                unit = UNITS + at
         if unit is None:
-            unit = FREQUENT + zlib.crc32(word[-4:] + (b"." if len(word) > 9 else b"")) % ENDINGS
+            unit = group_of(word)
         self[word] = unit
         return unit
 
 
+def group_of(word: bytes) -> int:
+    return FREQUENT + zlib.crc32(word[-4:] + (b"." if len(word) > 9 else b"")) % ENDINGS
+
+
+def word_hash(word: bytes) -> np.int64:
+    return np.int64(int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little", signed=True))
+
+
 def words_of(raw: bytes) -> list[bytes]:
     return raw.lower().split()
 
@@ -119,9 +142,9 @@ def _f(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300))
 
 
-def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
+def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int | None = None) -> np.ndarray:
     """The class of each unit. Each unit in turn, frequent ones first, goes to the class where the likelihood of class
-    bigrams is highest. The last unit (the end) has class 0 for itself."""
+    bigrams is highest, until none moves (or for so many sweeps). The last unit (the end) has class 0 for itself."""
     n = len(pairs)
     columns = np.ascontiguousarray(pairs.T)
     mass = pairs.sum(axis=1) + pairs.sum(axis=0)
@@ -133,7 +156,8 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
     m = np.zeros((classes, classes))
     np.add.at(m, (of[:, None].repeat(n, 1).ravel(), np.tile(of, n)), pairs.ravel())
     eye = np.eye(classes, dtype=bool)
-    for _ in range(sweeps):
+    least = 1e-9 + 1e-14 * float(_f(m.sum()))  # above rounding, or moves of no gain might never end
+    for _ in count() if sweeps is None else range(sweeps):
         moved = 0
         for w in order:
             if not mass[w]:
@@ -154,7 +178,7 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
             gain = across + down + _f(diag + r + l + self_) - _f(diag) - (_f(rows + r.sum() + self_) - _f(rows)) - (_f(cols + l.sum() + self_) - _f(cols))
             gain[0] = -np.inf
             b = int(np.argmax(gain))
-            if gain[b] <= gain[a] + 1e-9:
+            if gain[b] <= gain[a] + least:
                 b = a
             m[b] += r
             m[:, b] += l
@@ -166,9 +190,131 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
     return of
 
 
+def _chunks(batches, unit: UnitOf):
+    """Arrays of units of whole texts, with ends around each text."""
+    ids = [END]
+    for batch in batches:
+        for raw in batch.column(0).to_pylist():
+            ids += map(unit.__getitem__, words_of(raw))
+            ids.append(END)
+            if len(ids) > 2_000_000:
+                yield np.array(ids)
+                ids = [END]
+    yield np.array(ids)
+
+
+def grown_words(counts: DataFrame, frequent: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the words with a count of at least LEAST that are not among the frequent ones, and their groups."""
+    held = counts.sparkSession.sparkContext.broadcast(set(frequent))
+
+    def run(batches):
+        for batch in batches:
+            words = [w for w in batch.column(0).to_pylist() if w not in held.value]
+            yield pa.RecordBatch.from_arrays([pa.array([word_hash(w) for w in words], pa.int64()), pa.array([group_of(w) for w in words], pa.int16())], ["h", "g"])
+
+    t = counts.filter(F.col("c") >= LEAST).select("word").mapInArrow(run, "h bigint, g smallint").toArrow()
+    h, first = np.unique(t.column("h").to_numpy(), return_index=True)
+    return h, t.column("g").to_numpy()[first].astype(np.int64)
+
+
+def contexts(docs: DataFrame, frequent: list[bytes], grown: np.ndarray, class_of: np.ndarray) -> DataFrame:
+    """k, x: for SPAN grown words from k * SPAN on, int32 [SPAN, 2 * CLASSES] of how often each class stands after and before them."""
+    held = docs.sparkSession.sparkContext.broadcast((frequent, grown, class_of.astype(np.uint8)))
+    wide = 2 * CLASSES
+
+    def gather(batches):
+        frequent, grown, own = held.value
+        for ids in _chunks(batches, UnitOf(frequent, grown)):
+            at = np.flatnonzero(ids >= UNITS)
+            place, near = (ids[at] - UNITS) * wide, own[ids]
+            keys, n = np.unique(np.concatenate([place + near[at + 1], place + CLASSES + near[at - 1]]), return_counts=True)
+            ks, starts = np.unique(keys // (SPAN * wide), return_index=True)
+            for k, a, b in zip(ks.tolist(), starts.tolist(), [*starts[1:].tolist(), len(keys)]):
+                part = keys[a:b] - k * SPAN * wide
+                coded = zlib.compress(np.diff(part, prepend=0).astype(np.int32).tobytes() + n[a:b].astype(np.int32).tobytes(), 1)
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([coded], pa.binary())], ["k", "x"])
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, coded in zip(*(c.to_pylist() for c in batch.columns)):
+                steps, n = np.frombuffer(zlib.decompress(coded), np.int32).reshape(2, -1)
+                if k not in sums:
+                    sums[k] = np.zeros(SPAN * wide, np.int32)
+                sums[k][np.cumsum(steps)] += n
+        for k, x in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(x.tobytes(), 1)], pa.binary())], ["k", "x"])
+
+    slices = -(-len(grown) // SPAN)
+    return stored(docs.select("raw").mapInArrow(gather, "k int, x binary").repartition(slices, "k").mapInArrow(add, "k int, x binary"), "lm-contexts")
+
+
+def place(table: DataFrame, of: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, int]:
+    """The classes of the grown words, from the classes they begin with and the class bigrams m, and the number of sweeps.
+
+    All words go at once to the class under which their neighbours are likeliest, then the classes' neighbours are counted
+    anew; neither step lowers the likelihood of the neighbours, so the sweeps end."""
+    sc = table.sparkSession.sparkContext
+    both = np.concatenate([m, m.T], axis=1)  # by class: the classes after, the classes before
+    of = of.astype(np.uint8)
+    for sweep in count(1):
+        after, before = both[:, :CLASSES] + ADD, both[:, CLASSES:] + ADD
+        fit = np.log(np.concatenate([after / after.sum(axis=1, keepdims=True), before / before.sum(axis=1, keepdims=True)], axis=1)).T
+        fit[:, 0] = -1e9  # the end's own class
+        held = sc.broadcast((of, fit))
+
+        def step(batches):
+            of, fit = held.value
+            change, moved = np.zeros((CLASSES, 2 * CLASSES)), 0
+            for batch in batches:
+                for k, coded in zip(*(c.to_pylist() for c in batch.columns)):
+                    old = of[k * SPAN : (k + 1) * SPAN]
+                    x = np.frombuffer(zlib.decompress(coded), np.int32).reshape(SPAN, -1)[: len(old)].astype(float)
+                    score = x @ fit
+                    new, rows = score.argmax(axis=1).astype(np.uint8), np.arange(len(old))
+                    go = np.flatnonzero(score[rows, new] > score[rows, old] * (1 - 1e-11) + 1e-9)
+                    if len(go):
+                        np.add.at(change, new[go], x[go])
+                        np.subtract.at(change, old[go], x[go])
+                        moved += len(go)
+                        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([go.astype(np.int32).tobytes()], pa.binary()), pa.array([new[go].tobytes()], pa.binary())], ["k", "at", "new"])
+            if moved:
+                yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([b""], pa.binary()), pa.array([change.tobytes()], pa.binary())], ["k", "at", "new"])
+
+        rows = table.mapInArrow(step, "k int, at binary, new binary").collect()
+        held.destroy()
+        if not rows:
+            return of.astype(np.int64), sweep
+        of, both = of.copy(), both.copy()
+        for r in rows:
+            if r.k < 0:
+                both += np.frombuffer(r.new).reshape(CLASSES, -1)
+            else:
+                of[r.k * SPAN + np.frombuffer(r.at, np.int32)] = np.frombuffer(r.new, np.uint8)
+        np.maximum(both, 0, out=both)
+
+
+def class_pairs(docs: DataFrame, frequent: list[bytes], grown: np.ndarray, class_of: np.ndarray) -> np.ndarray:
+    """[CLASSES, CLASSES] counts of neighbouring classes."""
+    held = docs.sparkSession.sparkContext.broadcast((frequent, grown, class_of.astype(np.uint8)))
+
+    def run(batches):
+        frequent, grown, own = held.value
+        total = np.zeros(CLASSES * CLASSES, np.int64)
+        for ids in _chunks(batches, UnitOf(frequent, grown)):
+            c = own[ids].astype(np.int64)
+            total += np.bincount(c[:-1] * CLASSES + c[1:], minlength=CLASSES * CLASSES)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["m"])
+
+    parts = docs.select("raw").mapInArrow(run, "m binary").collect()
+    return sum((np.frombuffer(r.m, np.int64) for r in parts), np.zeros(CLASSES * CLASSES, np.int64)).reshape(CLASSES, CLASSES).astype(float)
+
+
 @dataclass
 class BrownModel:
     frequent: list[bytes]
+    #: Sorted hashes of the further words with units of their own.
+    grown: np.ndarray
     class_of: np.ndarray
     #: log10(transition / mass of the class after) by class before, class after.
     gain: np.ndarray
@@ -197,29 +343,38 @@ def train(docs: DataFrame, text_col: str = "text") -> BrownModel:
     pairs = pair_counts(raw, frequent)
     pairs[END, END] = max(0.0, pairs[END, END])
     class_of = exchange(pairs)
-    held = docs.sparkSession.sparkContext.broadcast(frequent)
-
-    def by_unit(batches):
-        unit = UnitOf(held.value)
+    m = np.zeros((CLASSES, CLASSES))
+    np.add.at(m, (class_of[:, None].repeat(UNITS, 1).ravel(), np.tile(class_of, UNITS)), pairs.ravel())
+    del pairs
+    grown, group = grown_words(counts, frequent)
+    if len(grown):
+        first = class_of[group]
+        near = contexts(raw, frequent, grown, np.append(class_of, first))
+        placed, _ = place(near, first, m)
+        discard(near)
+        class_of = np.append(class_of, placed)
+        m = class_pairs(raw, frequent, grown, class_of)
+    held = docs.sparkSession.sparkContext.broadcast((frequent, grown, class_of.astype(np.uint8)))
+
+    def by_class(batches):
+        frequent, grown, own = held.value
+        unit = UnitOf(frequent, grown)
         for batch in batches:
-            u = np.fromiter(map(unit.__getitem__, batch.column(0).to_pylist()), np.int64, batch.num_rows)
+            k = own[np.fromiter(map(unit.__getitem__, batch.column(0).to_pylist()), np.int64, batch.num_rows)]
             c = batch.column(1).to_numpy()
-            found = np.unique(u)
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.bincount(u, c, UNITS)[found].astype(np.int64)), pa.array(np.bincount(u, minlength=UNITS)[found])], ["u", "c", "n"])
+            found = np.unique(k)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(np.bincount(k, c, CLASSES)[found].astype(np.int64)), pa.array(np.bincount(k, minlength=CLASSES)[found])], ["k", "c", "n"])
 
     whole = tokens + ADD * (types + 1)
-    u_mass = np.full(UNITS, 0.0)
-    for r in counts.mapInArrow(by_unit, "u bigint, c bigint, n bigint").groupBy("u").agg(F.sum("c").alias("c"), F.sum("n").alias("n")).collect():
-        u_mass[r.u] = (r.c + ADD * r.n) / whole
+    mass = np.full(CLASSES, ADD / whole)  # a word that training doesn't have can be of any class
+    for r in counts.mapInArrow(by_class, "k bigint, c bigint, n bigint").groupBy("k").agg(F.sum("c").alias("c"), F.sum("n").alias("n")).collect():
+        mass[r.k] += (r.c + ADD * r.n) / whole
     end_u = (n_docs + ADD) / whole
-    u_mass[END] = end_u if n_docs else 0
-    mass = np.bincount(class_of, u_mass, CLASSES) + ADD / whole  # a word that training doesn't have can be of any class
-    m = np.zeros((CLASSES, CLASSES))
-    np.add.at(m, (class_of[:, None].repeat(UNITS, 1).ravel(), np.tile(class_of, UNITS)), pairs.ravel())
+    mass[class_of[END]] += end_u if n_docs else 0
     share = mass / mass.sum()
     transition = (m + PRIOR * share[None, :]) / (m.sum(axis=1, keepdims=True) + PRIOR)
     score = np.log10((np.array([r.c for r in best], float) + ADD) / whole)
-    return BrownModel(frequent, class_of, np.log10(transition / mass[None, :]), score, float(np.log10(end_u)) if n_docs else float(np.log10(ADD / whole)), float(np.log10(ADD / whole)), tokens, types, counts)
+    return BrownModel(frequent, grown, class_of, np.log10(transition / mass[None, :]), score, float(np.log10(end_u)) if n_docs else float(np.log10(ADD / whole)), float(np.log10(ADD / whole)), tokens, types, counts)
 
 
 def score_documents(docs: DataFrame, model: BrownModel, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -228,16 +383,16 @@ def score_documents(docs: DataFrame, model: BrownModel, id_col: str = "doc_id",
     Null and empty texts are an end; repeated rows are scored each (rows are told apart by where they were stored, not by
     id); an empty table gives an empty table; other columns are not read."""
     spark = docs.sparkSession
-    held = spark.sparkContext.broadcast((model.frequent, model.class_of, model.gain, model.frequent_score, model.end_score))
+    held = spark.sparkContext.broadcast((model.frequent, model.grown, model.class_of.astype(np.uint8), model.gain, model.frequent_score, model.end_score))
     has_end = model.tokens > 0
     kinds = dict(docs.dtypes)
     kept = "".join(f"`{c}` {kinds[c]}, " for c in (id_col, *carry))
 
     def run(batches):
-        frequent, class_of, gain, frequent_score, end_score = held.value
-        unit, n_frequent = UnitOf(frequent), len(frequent)
+        frequent, grown, class_of, gain, frequent_score, end_score = held.value
+        unit, n_frequent = UnitOf(frequent, grown), len(frequent)
         row = TaskContext.get().partitionId() << 40
-        padded = np.append(frequent_score, np.zeros(UNITS - n_frequent))
+        padded = np.append(frequent_score, np.zeros(UNITS + len(grown) - n_frequent))
         for batch in batches:
             n, known, base, gains, rare_words, rare_n, offsets = [], [], [], [], [], [], [0]
             for raw in batch.column(0).to_pylist():
