@@ -156,7 +156,7 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int | None = Non
     m = np.zeros((classes, classes))
     np.add.at(m, (of[:, None].repeat(n, 1).ravel(), np.tile(of, n)), pairs.ravel())
     eye = np.eye(classes, dtype=bool)
-    least = 1e-9 + 1e-14 * float(_f(m.sum()))  # above rounding, or moves of no gain might never end
+    least = 1e-9 + 1e-12 * float(_f(m.sum()))  # above rounding, or moves of no gain might never end
     for _ in count() if sweeps is None else range(sweeps):
         moved = 0
         for w in order:
