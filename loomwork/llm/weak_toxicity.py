@@ -1,15 +1,17 @@
 """Toxicity by weak supervision.
 
-Many voters look at a document: words and word beginnings that the training labels associate with
-toxicity, the absence of all of those, and fixed surface patterns. A generative label model estimates
-by expectation maximisation how often each voter votes what on toxic and on clean documents (the
-given label is one more, of set accuracy) and the correlations of voters within a class, by which voters that
-say the same count less. Its posterior labels train a linear classifier over words and word
-beginnings, which scores every document.
+Many voters look at a document: words, and beginnings that two different words share, that the training labels clearly
+associate with toxicity, each a voter; the absence of all of those; and fixed surface patterns. A generative label model
+estimates by expectation maximisation how often each voter votes what on toxic and on clean documents (the given label is one
+voter more, whose accuracy is estimated like any other's) and the correlations of voters within a class, by which voters that
+say the same count less. Its posterior labels train a linear classifier over words and word beginnings, which scores every
+document. All that is fitted is fitted in one executor task over a sample of labelled rows of a stated bound;
+the driver gets weights by feature.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from dataclasses import dataclass, field
 
@@ -20,10 +22,11 @@ from pyspark.sql import functions as F
 
 from loomwork.llm.common import discard, id_split, stored, text_bytes
 
-#: Bounds of what is fitted: labelled rows, features of the classifier, voters of either kind.
-MOST_LABELLED, MOST_FEATURES, MOST_WORDS, MOST_BEGINNINGS = 20_000, 4096, 40, 40
-#: How often a given label is right, at least: it anchors the model's classes.
-LABEL_TRUST = 0.97
+#: Bound of what is learned from: labelled rows.
+MOST_LABELLED = 20_000
+#: A feature is one of the classifier's if it is in so many rows and its log odds are so many deviations from 0; it
+#: is a voter, too, if they are at least VOTER_Z and it is so many times likelier in toxic rows.
+LEAST_ROWS, LEAST_Z, VOTER_Z, LEAST_TIMES = 4, 2.5, 5, 9
 STRIP = b".,;:!?\"'()[]{}<>*%$#&|-_"
 BEGINNINGS = range(4, 11)
 
@@ -79,15 +82,16 @@ class LabelModel:
     worth: np.ndarray = field(default=None)
     correlation: np.ndarray = field(default=None)
 
-    def fit(self, votes: np.ndarray, given: np.ndarray, rounds: int = 25) -> LabelModel:
-        all_votes = np.concatenate([votes, (2 * given - 1)[:, None]], axis=1) + 1
+    def fit(self, votes: np.ndarray, given: np.ndarray, rounds: int = 25, trust: float | None = 0.97) -> LabelModel:
+        """trust: how often a given label is right, if that is known; None: it is estimated like the accuracy of any voter."""
+        all_votes = self._with_labels(votes, given)
         q = np.clip(given.astype(float), 0.05, 0.95)
-        onehot = np.stack([(all_votes == v) for v in range(3)], axis=2).astype(np.float32)
+        said = [(all_votes == v).astype(np.float32) for v in range(3)]
         for _ in range(rounds):
-            mass = np.stack([1 - q, q])
-            counts = np.einsum("ci,ijv->jcv", mass.astype(np.float32), onehot).astype(float) + np.array([0.5, 0.5, 0.5])
+            counts = np.stack([np.stack([w.astype(np.float32) @ x for x in said], axis=1) for w in (1 - q, q)], axis=1).astype(float) + 0.5
             self.table = counts / counts.sum(axis=2, keepdims=True)
-            self.table[-1] = [[LABEL_TRUST, 1e-6, 1 - LABEL_TRUST], [1 - LABEL_TRUST, 1e-6, LABEL_TRUST]]
+            if trust is not None:
+                self.table[-1] = [[trust, 1e-6, 1 - trust], [1 - trust, 1e-6, trust]]
             self.prior = float(np.clip(q.mean(), 1e-3, 1 - 1e-3))
             self.correlation = self._correlation(all_votes, q)
             tied = np.where(self.correlation > 0.1, self.correlation, 0).sum(axis=1)
@@ -99,13 +103,18 @@ class LabelModel:
             q = fresh
         return self
 
+    @staticmethod
+    def _with_labels(votes: np.ndarray, given: np.ndarray) -> np.ndarray:
+        """Votes 0, 1 (abstained), 2; the given labels are the last voter."""
+        return np.concatenate([votes, (2 * given - 1)[:, None]], axis=1).astype(np.int8) + np.int8(1)
+
     def _correlation(self, all_votes: np.ndarray, q: np.ndarray) -> np.ndarray:
         """Between voters within a class: what they share beyond the label."""
-        x = all_votes.astype(float)
+        x = all_votes.astype(np.float32)
         out = np.zeros((x.shape[1],) * 2)
         for w in (1 - q, q):
             share = w.sum() / len(q)
-            z = (x - (w @ x) / max(w.sum(), 1e-9)) * np.sqrt(w)[:, None]
+            z = (x - ((w @ x) / max(w.sum(), 1e-9)).astype(np.float32)) * np.sqrt(w).astype(np.float32)[:, None]
             cov = z.T @ z / max(w.sum(), 1e-9)
             sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
             out += share * np.where(np.outer(sd, sd) > 1e-6, cov / np.outer(sd, sd), 0)
@@ -113,10 +122,10 @@ class LabelModel:
         return np.abs(out)
 
     def posterior(self, votes: np.ndarray, given: np.ndarray) -> np.ndarray:
-        all_votes = np.concatenate([votes, (2 * given - 1)[:, None]], axis=1) + 1
+        all_votes = self._with_labels(votes, given)
         ratio = np.log(self.table[:, 1] / self.table[:, 0])
         ratio[:, 1] = 0  # who abstains says nothing; the voters on absence speak for what isn't there
-        odds = np.log(self.prior / (1 - self.prior)) + (ratio[np.arange(ratio.shape[0])[None, :], all_votes] * self.worth).sum(axis=1)
+        odds = np.log(self.prior / (1 - self.prior)) + sum((all_votes == v) @ (ratio[:, v] * self.worth) for v in (0, 2))
         return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
 
@@ -126,7 +135,6 @@ class ToxicityModel:
 
     weights: dict[bytes, float]
     intercept: float
-    label_model: LabelModel | None = None
 
 
 def _logistic(rows: list[np.ndarray], target: np.ndarray, n: int, decay: float = 0.05, rounds: int = 400) -> tuple[np.ndarray, float]:
@@ -149,7 +157,12 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED
     given = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).dropna().groupBy("id").agg(F.max("y").alias("y"))
     chosen = given.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(most_labelled)
     texts = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("raw"))
-    sample = stored(texts.join(F.broadcast(chosen), "id").select("y", "raw"), "toxic-sample")
+    # an id may have many rows: the bound holds for rows, too
+    met = texts.join(F.broadcast(chosen), "id").select("y", "raw")
+    sample = stored(met, "toxic-sample")
+    if sample.count() > most_labelled:
+        whole, sample = sample, stored(sample.orderBy(F.xxhash64(F.lit(seed), "raw"), "raw").limit(most_labelled), "toxic-sample")
+        discard(whole)
     size, positive = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not size or positive in (0, size):
         discard(sample)
@@ -167,43 +180,61 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED
     a, b = F.col("a") + 0.5, F.col("b") + 0.5
     odds = F.log(a / (positive - F.col("a") + 0.5)) - F.log(b / (size - positive - F.col("b") + 0.5))
     per = sample.mapInArrow(counts, "f binary, a bigint, b bigint").groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    best = per.filter("a + b >= 4").withColumn("z", odds / F.sqrt(1 / a + 1 / b)).filter("abs(z) > 2.5").orderBy(F.desc(F.abs("z")), "f").limit(MOST_FEATURES).collect()
-    index = {bytes(r.f): i for i, r in enumerate(best)}
-    rows = sample.mapInArrow(_seen(index), "y int, found array<int>, surface array<int>").toArrow().combine_chunks()
+    told = per.filter(F.col("a") + F.col("b") >= LEAST_ROWS).withColumn("z", odds / F.sqrt(1 / a + 1 / b)).filter(F.abs("z") > LEAST_Z)
+    times = (a / positive) / (b / (size - positive))
+    votes = (F.col("z") > VOTER_Z) & (times > LEAST_TIMES) & F.substring("f", 1, 1).cast("string").isin("w", "2")
+    best = told.select("f", F.when(votes, F.col("f")).alias("voter")).toArrow().sort_by("f")
+    names, own = best.column("f").to_pylist(), best.column("voter").to_pylist()
+    index = {f: i for i, f in enumerate(names)}
+    voters = {v: i for i, v in enumerate(v for v in own if v is not None)}
+    voter_of = np.array([-1 if v is None else voters[v] for v in own], np.int32)
+    sc = docs.sparkSession.sparkContext
+    held = sc.broadcast((index, voter_of, [v[:1] for v in voters]))
+    rows = sample.mapInArrow(_seen(held), "y int, found array<int>, surface array<int>, mark bigint")
+    fitted = rows.repartition(1).mapInArrow(_fit(held), "weights binary, intercept double").first()
+    held.unpersist()
     discard(sample)
-    places = rows.column("found").combine_chunks()
-    bounds, values = places.offsets.to_numpy(), places.values.to_numpy()
-    found = [np.sort(values[lo:hi]) for lo, hi in zip(bounds, bounds[1:])]
-    surface = rows.column("surface").combine_chunks().flatten().to_numpy().reshape(-1, len(PATTERNS))
-    y = rows.column("y").to_numpy()
-    # voters: what is at least nine times likelier in toxic documents, most frequent first
-    strong = sorted((r for r in best if r.z > 2 and (r.a + 0.5) / positive > 9 * (r.b + 0.5) / (size - positive)), key=lambda r: (-r.a, bytes(r.f)))
-    voters = [index[bytes(r.f)] for kind, n in ((b"w", MOST_WORDS), (b"b", MOST_BEGINNINGS), (b"2", MOST_BEGINNINGS)) for r in [x for x in strong if bytes(x.f)[:1] == kind][:n]]
-    voter_of = np.full(len(best), -1)
-    voter_of[voters] = np.arange(len(voters))
-    lexicon = np.zeros((len(found), len(voters)), np.int64)
-    for i, f in enumerate(found):
-        at = voter_of[f]
-        lexicon[i, at[at >= 0]] = 1
-
-    def absence(kinds: bytes) -> np.ndarray:
-        """-1 where a document has no strong feature of these kinds; nobody votes if there are no such features."""
-        strong_of = np.zeros(len(best), bool)
-        strong_of[[index[bytes(r.f)] for r in strong if bytes(r.f)[:1] in kinds]] = True
-        return np.array([0 if strong_of[f].any() else -1 for f in found]) if strong_of.any() else np.zeros(len(found), np.int64)
-
-    votes = np.concatenate([lexicon, np.stack([absence(k) for k in (b"w", b"2", b"w2")], axis=1), surface], axis=1).astype(np.int64)
-    model = LabelModel().fit(votes, y)
-    weights, intercept = _logistic(found, model.posterior(votes, y), len(best))
-    return ToxicityModel({f: float(weights[i]) for f, i in index.items()}, float(intercept), model)
-
-
-def _seen(index: dict[bytes, int]):
+    return ToxicityModel(dict(zip(names, np.frombuffer(fitted.weights).tolist())), fitted.intercept)
+
+
+def _fit(held):
+    """One task over the sample's rows (y, found, surface, mark): the label model, then the classifier on its posteriors."""
+
+    def run(batches):
+        _, voter_of, kinds = held.value
+        table = pa.Table.from_batches(list(batches)).combine_chunks().sort_by([("mark", "ascending"), ("y", "ascending")])
+        places = table.column("found").combine_chunks()
+        bounds, values = places.offsets.to_numpy(), places.values.to_numpy()
+        found = [np.sort(values[lo:hi]) for lo, hi in zip(bounds, bounds[1:])]
+        y = table.column("y").to_numpy().astype(np.int64)
+        lexicon = np.zeros((len(y), len(kinds)), np.int8)
+        for i, f in enumerate(found):
+            at = voter_of[f]
+            lexicon[i, at[at >= 0]] = 1
+
+        def absence(of: bytes) -> np.ndarray:
+            """-1 where no voter of these kinds votes; nobody votes if there are no such voters."""
+            own = [j for j, k in enumerate(kinds) if k in of]
+            return np.where(lexicon[:, own].any(axis=1), 0, -1) if own else np.zeros(len(y), np.int64)
+
+        surface = table.column("surface").combine_chunks().flatten().to_numpy().reshape(-1, len(PATTERNS))
+        votes = np.concatenate([lexicon, np.stack([absence(k) for k in (b"w", b"2", b"w2")], axis=1), surface], axis=1).astype(np.int8)
+        model = LabelModel().fit(votes, y, trust=None)
+        weights, intercept = _logistic(found, model.posterior(votes, y), len(voter_of))
+        yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([intercept], pa.float64())], ["weights", "intercept"])
+
+    return run
+
+
+def _seen(held):
+    """The features of each row of (y, raw), by index, its surface votes, and a hash of its text."""
+
     def run(batches):
-        features = FeaturesOf(index)
+        features = FeaturesOf(held.value[0])
         for batch in batches:
             raws = batch.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([list(features.of(r)) for r in raws], pa.list_(pa.int32())), pa.array([surface_votes(r) for r in raws], pa.list_(pa.int32()))], ["y", "found", "surface"])
+            marks = [int.from_bytes(hashlib.blake2b(r, digest_size=8).digest(), "big", signed=True) for r in raws]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([list(features.of(r)) for r in raws], pa.list_(pa.int32())), pa.array([surface_votes(r) for r in raws], pa.list_(pa.int32())), pa.array(marks, pa.int64())], ["y", "found", "surface", "mark"])
 
     return run
 

@@ -55,3 +55,30 @@ def test_label_model_finds_accuracies_and_copies():
 def test_beginnings_found_twice():
     f = T.FeaturesOf().of(b"grumpish grumpling")
     assert b"2 grump" in f and b"b grump" in f and b"w grumpish" in f and b"2 grumpi" not in f
+
+
+def test_label_model_by_enumeration_and_estimated_labels():
+    """Posteriors against Bayes' rule over the model's own table, and a label's accuracy that many voters show to be 0.8."""
+    rng = np.random.default_rng(3)
+    y = rng.random(6000) < 0.4
+    votes = np.stack([np.where(rng.random(6000) < 0.85, np.where(y, 1, -1), np.where(y, -1, 1)) * (rng.random(6000) < 0.9) for _ in range(9)], axis=1)
+    given = np.where(rng.random(6000) < 0.8, y, ~y).astype(int)
+    m = T.LabelModel().fit(votes, given, trust=None)
+    q = m.posterior(votes, given)
+    assert abs(m.table[-1, 1, 2] - 0.8) < 0.03 and ((q > 0.5) == y).mean() > 0.97
+    for i in range(40):
+        odds = m.prior / (1 - m.prior)
+        for j, v in enumerate([*votes[i], 2 * given[i] - 1]):
+            if v:
+                odds *= (m.table[j, 1, v + 1] / m.table[j, 0, v + 1]) ** m.worth[j]
+        assert abs(odds / (1 + odds) - q[i]) < 1e-9
+
+
+def test_an_empty_table_and_one_id_with_many_rows(spark):
+    docs = spark.createDataFrame([], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id bigint, toxic int")
+    model = T.train(docs, labels)
+    assert T.score_documents(docs, model).count() == 0
+    many = spark.createDataFrame([(1 + i % 2, ("vile stuff" if i % 2 == 0 else "fine sea") + f" {i}") for i in range(300)], "doc_id bigint, text string")
+    got = {r.text.split()[0]: r.score for r in T.score_documents(many, T.train(many, labels, most_labelled=100)).join(many, "doc_id").collect()}
+    assert got["vile"] > 0.7 > 0.3 > got["fine"]
