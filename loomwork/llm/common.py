@@ -21,8 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir.
 
-    Only where the session doesn't set it (tests, a single machine) a local folder is set."""
+    Only where the session doesn't set it and all of Spark runs on this machine (tests), a local folder is set."""
     place = spark.conf.get("spark.checkpoint.dir", None)
+    if not place and not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not place:
         import tempfile
 

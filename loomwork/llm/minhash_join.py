@@ -1,10 +1,11 @@
 """MinHash near-duplicates by a multi-index Hamming join.
 
 A distinct set of shingles has a signature of SYMBOLS minima, BITS bits each. Two signatures' distance is the number of
-symbols that differ. Signatures are cut into CHUNKS chunks; if at most CHUNKS * (ERRORS + 1) - 1 symbols differ, some
-chunk has at most ERRORS errors (pigeonhole). With ERRORS = 1 these are enumerated by leaving out each symbol of
-a chunk in turn: two signatures with such a chunk share a key (chunk, place left out, other symbols). So all pairs under
-the distance share a key; links are confirmed on full sets.
+symbols that differ. Signatures are cut into CHUNKS chunks and each chunk is allowed a number of errors, so many that the
+numbers, one added to each, exceed the distance looked at: then a pair within the distance has a chunk with no more
+errors than it is allowed (pigeonhole). Errors are enumerated by leaving out each set of so many symbols of a chunk in
+turn: two signatures with such a chunk share a key (chunk, places left out, other symbols). So all pairs
+within the distance share a key; links are confirmed on full sets.
 
 No group becomes all its pairs:
 1. equal sets become one node;
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +31,14 @@ from loomwork.llm.common import NULL_ID, discard, stored, text_bytes
 from loomwork.llm.components import components
 from loomwork.llm.simhash import WordHash, _mixed
 
-SYMBOLS, BITS, CHUNKS, ERRORS = 60, 16, 12, 1
+SYMBOLS, BITS, CHUNKS = 60, 16, 12
 WIDE = SYMBOLS // CHUNKS
-#: All pairs up to this distance share a key. (At a similarity of 0.8 the mean distance is 12, the deviation 3.1.)
-GUARANTEED = CHUNKS * (ERRORS + 1) - 1
+#: The least distance looked at: one error in each chunk. (At a similarity of 0.8 the mean distance is 12, the deviation 3.1.)
+GUARANTEED = CHUNKS * 2 - 1
 #: A pair at the threshold is farther than the distance looked at with this probability, at most.
 MISS = 1e-7
-#: Rows of a bucket's part; bytes of shingle sets of a family's part.
-BLOCK, BLOCK_BYTES = 4096, 16_000_000
+#: Rows of a bucket's part; rows and bytes of shingle sets of a family's part.
+BLOCK, BLOCK_ROWS, BLOCK_BYTES = 4096, 1024, 16_000_000
 #: Node ids up to this number are broadcast (8 MB at most); more go through a shuffle join.
 MOST_BROADCAST = 1_000_000
 
@@ -77,18 +79,31 @@ def distance_for(percent: int) -> int:
     return SYMBOLS
 
 
-def chunk_keys(sig: np.ndarray) -> np.ndarray:
-    """[n, SYMBOLS] keys of [n, SYMBOLS] signatures: one for each chunk and place left out."""
-    x = sig.reshape(len(sig), CHUNKS, 1, WIDE).astype(np.uint64)
-    left_out = ~np.eye(WIDE, dtype=bool)[None, None]
-    mixed = (x + np.uint64(1)) * _POWERS[1 : WIDE + 1]
-    packed = (_mixed(mixed) * left_out).sum(axis=3, dtype=np.uint64)
-    place = np.arange(CHUNKS * WIDE, dtype=np.uint64).reshape(CHUNKS, WIDE)
-    return _mixed(packed + (place[None] + np.uint64(1)) * _POWERS[7]).reshape(len(sig), -1).view(np.int64)
+def allowed_errors(most: int) -> list[int]:
+    """Errors allowed in each chunk, so that all pairs up to the distance most have a chunk with no more."""
+    every, more = divmod(max(most, GUARANTEED) + 1, CHUNKS)
+    return [min(WIDE - 1, every - 1 + (k < more)) for k in range(CHUNKS)]
 
 
-def _profiles(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """id, given, n, digest, sig for each row."""
+def chunk_keys(sig: np.ndarray, most: int = GUARANTEED) -> np.ndarray:
+    """[n, keys] of [n, SYMBOLS] signatures: one for each chunk and set of places left out."""
+    mixed = _mixed((sig.reshape(-1, CHUNKS, WIDE).astype(np.uint64) + np.uint64(1)) * _POWERS[1 : WIDE + 1])
+    out, n = [], 0
+    for k, errors in enumerate(allowed_errors(most)):
+        for left in combinations(range(WIDE), errors):
+            n += 1
+            kept = [i for i in range(WIDE) if i not in left]
+            out.append(_mixed(mixed[:, k, kept].sum(axis=1, dtype=np.uint64) + np.uint64(n) * _POWERS[7]))
+    return np.stack(out, axis=1).view(np.int64)
+
+
+def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id (null: NULL_ID), given (as it is), raw."""
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(id_col).alias("given"), text_bytes(text_col).alias("raw"))
+
+
+def _profiles(docs: DataFrame, width: int) -> DataFrame:
+    """id, given, n, digest, sig for each row of docs (id, given, raw)."""
 
     def run(batches):
         words = WordHash()
@@ -101,18 +116,17 @@ def _profiles(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFr
                 sigs.append(signature(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], ["id", "given", "n", "digest", "sig"])
 
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(id_col).alias("given"), text_bytes(text_col).alias("raw"))
-    return rows.mapInArrow(run, f"id bigint, given {dict(docs.dtypes)[id_col]}, n bigint, digest binary, sig binary")
+    return docs.select("id", "given", "raw").mapInArrow(run, f"id bigint, given {dict(docs.dtypes)['given']}, n bigint, digest binary, sig binary")
 
 
-def _keys(nodes: DataFrame) -> DataFrame:
+def _keys(nodes: DataFrame, most: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, SYMBOLS)
-            ids = np.repeat(batch.column(0).to_numpy(), SYMBOLS)
-            yield pa.RecordBatch.from_arrays([pa.array(chunk_keys(sig).ravel()), pa.array(ids)], ["key", "node"])
+            keys = chunk_keys(_signatures(batch.column(1)), most)
+            ids = np.repeat(batch.column(0).to_numpy(), keys.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(ids)], ["key", "node"])
 
     return nodes.select("node", "sig").mapInArrow(run, "key bigint, node bigint")
 
@@ -230,10 +244,10 @@ def _parted(rows: DataFrame) -> DataFrame:
     return rows.withColumn("t", F.explode(to))
 
 
-def _shingle_sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """id, shingles of the documents in wanted (id). Only their texts move."""
+def _shingle_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """id, shingles of the documents (id, raw) in wanted (id). Only their texts move."""
     few = wanted.count() <= MOST_BROADCAST
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), text_bytes(text_col).alias("raw")).join(F.broadcast(wanted) if few else wanted, "id", "left_semi")
+    texts = docs.select("id", "raw").join(F.broadcast(wanted) if few else wanted, "id", "left_semi")
 
     def sets(batches):
         words = WordHash()
@@ -243,10 +257,10 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, t
     return stored(texts.mapInArrow(sets, "id bigint, shingles binary").filter(F.octet_length("shingles") > 0).distinct(), "shingle-sets")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int, width: int, id_col: str, text_col: str) -> DataFrame:
+def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
     """The pairs (a, b) whose full sets are alike enough."""
-    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    full = _shingle_sets(docs, wanted, width, id_col, text_col)
+    wanted = stored(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "wanted")
+    full = _shingle_sets(docs, wanted, width)
 
     def verify(batches):
         for batch in batches:
@@ -264,9 +278,9 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int, width: int, id_c
             mask = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
-    both = pairs.join(full.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").join(full.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
+    both = pairs.hint("merge").join(full.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").hint("merge").join(full.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
     out = stored(both.select("a", "b", "x", "y").mapInArrow(verify, "a bigint, b bigint").distinct(), "confirmed")
-    discard(full)
+    discard(full, wanted)
     return out
 
 
@@ -280,56 +294,87 @@ def _close(pairs: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
     sig = nodes.select("node", "sig")
-    both = pairs.join(sig.select(F.col("node").alias("b"), F.col("sig").alias("y")), "b").join(sig.select(F.col("node").alias("a"), F.col("sig").alias("x")), "a")
+    both = pairs.hint("merge").join(sig.select(F.col("node").alias("b"), F.col("sig").alias("y")), "b").hint("merge").join(sig.select(F.col("node").alias("a"), F.col("sig").alias("x")), "a")
     return both.select("a", "b", "x", "y").mapInArrow(far, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, most_distance: int | None = None, block: int = BLOCK, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _linked(docs: DataFrame, percent: int, width: int, most_distance: int | None, block: int, block_rows: int, block_bytes: int) -> DataFrame:
+    """id, given, n, component for each row of docs (id, given, raw). Rows that share an id are one document."""
+    most = distance_for(percent) if most_distance is None else most_distance
+    profiles = stored(_profiles(docs, width), "profiles")
+    nodes = stored(profiles.filter("n > 0").groupBy("digest").agg(F.min("id").alias("node"), F.first("sig").alias("sig")), "nodes")
+    rows = stored(profiles.drop("sig").hint("merge").join(nodes.select("digest", "node"), "digest", "left").drop("digest"), "rows")
+    discard(profiles)
+    keys = _keys(nodes, most)
+    buckets = stored(keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count(F.lit(1)).alias("size")).filter("a < b"), "buckets")
+    members = stored(keys.hint("merge").join(buckets.filter("size > 2").select("key", "a"), "key"), "members")
+    stars = buckets.filter("size = 2").select("a", "b").unionByName(members.filter("node <> a").select("a", F.col("node").alias("b"))).distinct()
+    near = stored(_close(stars, nodes, most), "stars")
+    links = _confirmed(near, docs, percent, width)
+    discard(buckets, near)
+    # a document whose rows have several texts ties their sets together
+    several = stored(rows.filter("n > 0").groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b"), "several")
+    all_links = links
+    if several.limit(1).count():
+        all_links = links.unionByName(rows.hint("merge").join(several.select("id", "a"), "id").filter("node <> a").select("a", F.col("node").alias("b")))
+    first = components(all_links)
+    # buckets that still hold several components
+    placed = stored(members.hint("merge").join(first, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp")), "placed")
+    discard(members)
+    open_ = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo < hi").select("key", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
+    open_ = stored(open_, "open")
+    final, done = first, not open_.limit(1).count()
+    if not done:
+        parts = _parted(placed.hint("merge").join(open_, "key").hint("merge").join(nodes.select("node", "sig"), "node")).select("key", "t.i", "t.j", "t.side", "node", "comp", "sig")
+        forest = stored(parts.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_forests(most), "a bigint, b bigint").distinct(), "forest")
+        done = not forest.limit(1).count()
+    if not done:
+        family = components(forest).select("node", F.col("component").alias("family"))
+        sets = _shingle_sets(docs, family.select(F.col("node").alias("id")), width)
+        own = family.hint("merge").join(first, "node", "left").select("node", "family", F.coalesce("component", "node").alias("comp"))
+        own = stored(own.hint("merge").join(nodes.select("node", "sig"), "node").hint("merge").join(sets.withColumnRenamed("id", "node"), "node"), "family-sets")
+        sizes = own.groupBy("family").agg(F.greatest(F.ceil(F.sum(F.octet_length("shingles")) / block_bytes), F.ceil(F.count(F.lit(1)) / block_rows)).cast("int").alias("blocks"))
+        parts = _parted(own.hint("merge").join(sizes, "family")).select("family", "t.i", "t.j", "t.side", "node", "comp", "sig", "shingles")
+        late = stored(parts.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(_links_within(most, percent), "a bigint, b bigint").distinct(), "late-links")
+        if late.limit(1).count():
+            final = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(late))
+        discard(family, sets, own, forest, late)
+    whole = rows.hint("merge").join(final, "node", "left")
+    out = stored(whole.select("id", "given", "n", F.coalesce("component", "node", "id").alias("component")), "near-duplicates")
+    discard(nodes, rows, links, several, first, placed, open_, final)
+    return out
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, most_distance: int | None = None, block: int = BLOCK, block_rows: int = BLOCK_ROWS, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_shingles, component_id, kept, one row per row of docs.
 
-    Links: 100 * intersection >= percent * union of the sets of width-word shingles. Pairs within GUARANTEED differing
-    symbols always become candidates, those up to most_distance (distance_for(percent) unless given) if they share a key (they
-    do but for a chance of 1e-7 at a similarity of 0.8); every candidate is confirmed on full sets. component_id: the least id reachable.
+    Links: 100 * intersection >= percent * union of the sets of width-word shingles. All pairs within most_distance
+    differing symbols (distance_for(percent) unless given: a pair at the threshold is farther with a probability of 1e-7)
+    become candidates, and every candidate is confirmed on full sets. component_id: the least id reachable.
     Texts without words are linked with nothing. Rows that share an id are one document: their links are joined. Null ids
     are one document, less than all others (component_id null). Repeated rows are returned each;
     empty tables give empty tables; other columns are not read."""
-    most_distance = distance_for(percent) if most_distance is None else most_distance
-    rows = stored(_profiles(docs, width, id_col, text_col), "profiles")
-    nodes = stored(rows.filter("n > 0").groupBy("digest").agg(F.min("id").alias("node"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("rows")), "nodes")
-    keys = _keys(nodes)
-    buckets = keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count(F.lit(1)).alias("size")).filter("a < b")
-    buckets = stored(buckets, "buckets")
-    larger = buckets.filter("size > 2")
-    members = stored(keys.join(larger.select("key", "a"), "key"), "members")
-    stars = buckets.filter("size = 2").select("a", "b").unionByName(members.filter("node <> a").select("a", F.col("node").alias("b"))).distinct()
-    links = _confirmed(stored(_close(stars, nodes, most_distance), "stars"), docs, percent, width, id_col, text_col)
-    # a document whose rows have several texts ties their sets together
-    reps = nodes.select("digest", "node")
-    tied = rows.filter("n > 0").select("id", "digest").join(reps, "digest").groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.collect_set("node").alias("all")).filter("a < b or b > id")
-    ties = tied.select(F.col("id").alias("a"), F.explode("all").alias("b")).filter("a <> b")
-    first = stored(components(links.unionByName(ties)), "components")
-    # buckets that still hold several components
-    placed = members.join(first, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-    placed = stored(placed, "placed")
-    open_ = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo < hi").select("key", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
-    parts = _parted(placed.join(open_, "key").join(nodes.select("node", "sig"), "node")).select("key", "t.i", "t.j", "t.side", "node", "comp", "sig")
-    forest = parts.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_forests(most_distance), "a bigint, b bigint").distinct()
-    family = stored(components(forest).select("node", F.col("component").alias("family")), "families")
-    own = family.join(first, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-    own = own.join(nodes.select("node", "sig"), "node").join(_shingle_sets(docs, family.select(F.col("node").alias("id")), width, id_col, text_col).withColumnRenamed("id", "node"), "node")
-    own = stored(own, "family-sets")
-    sizes = own.groupBy("family").agg(F.ceil(F.sum(F.octet_length("shingles")) / block_bytes).cast("int").alias("blocks"))
-    parts = _parted(own.join(sizes, "family")).select("family", "t.i", "t.j", "t.side", "node", "comp", "sig", "shingles")
-    again = stored(parts.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(_links_within(most_distance, percent), "a bigint, b bigint").distinct(), "late-links")
+    linked = _linked(_prepared(docs, id_col, text_col), percent, width, most_distance, block, block_rows, block_bytes)
+    component = F.col("component")
+    return linked.select(F.col("given").alias(id_col), F.col("n").alias("n_shingles"), F.when(component != NULL_ID, component).alias("component_id"), (component == F.col("id")).alias("kept"))
+
+
+def keep_one(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs without all but one of each group of near-duplicates, all columns as they are.
+
+    Groups are of rows, not of ids: rows with one id and unlike texts are different documents here, and a null id is like any other. Of a
+    group the row with the least id stays (null first), of rows with equal ids and texts the one whose other columns are least.
+    Texts without words stay, each row. Ids and texts are told apart by a hash of 64 bits. Empty tables give empty tables."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    own, text = names[docs.columns.index(id_col)], names[docs.columns.index(text_col)]
+    renamed = docs.toDF(*names)
+    key = F.xxhash64(F.col(own), F.coalesce(text, F.lit("")))
+    rows = _linked(renamed.select(key.alias("id"), F.col(own).cast("long").alias("given"), text_bytes(text).alias("raw")), percent, width, None, BLOCK, BLOCK_ROWS, BLOCK_BYTES).filter("n > 0")
+    stay = stored(rows.groupBy("component").agg(F.min(F.struct("given", "id")).alias("first")).select(F.col("first.id").alias("id")), "stay")
+    gone = rows.select("id").distinct().hint("merge").join(stay, "id", "left_anti")
+    again = stored(rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").hint("merge").join(stay, "id", "left_semi").select("id"), "again")
+    left = renamed.withColumn("id", key).join(gone, "id", "left_anti")
     if again.limit(1).count():
-        final = stored(components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(again)), "components")
-    else:
-        final = first
-    discard(members, placed, buckets, family, own, again, links)
-    whole = rows.join(reps, "digest", "left").join(final, "node", "left")
-    component = F.coalesce("component", "node", "id")
-    return whole.select(
-        F.col("given").alias(id_col), F.col("n").alias("n_shingles"),
-        F.when(component != NULL_ID, component).alias("component_id"),
-        (component == F.col("id")).alias("kept"),
-    )
+        once = left.join(again, "id", "left_semi").groupBy("id").agg(F.min(F.struct(*names)).alias("row")).select("row.*")
+        left = left.join(again, "id", "left_anti").select(*names).unionByName(once)
+    return left.select(*names).toDF(*docs.columns)
