@@ -21,6 +21,8 @@ WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
 #: Documents in a block of the flight phase (on average).
 BLOCK = 2_000
+#: Rows of a unit that one row of a plan becomes at a time.
+CHUNK = 1024
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
@@ -46,7 +48,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
 
 
 def fly(size: list[float], p: list[float], luck: list[float], eps: float = 1e-9) -> list[float]:
-    """Flight: at most two of p stay between 0 and 1; sums of p and of p * size stay as they are."""
+    """Flight: at most two of p stay between 0 and 1; sums of p and of p * size stay as they are. luck: a coin in [0, 1) for each."""
     p = list(p)
     pool: list[int] = []
     for i in range(len(p)):
@@ -88,34 +90,39 @@ def land(size: list[float], p: list[float]) -> list[float]:
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK) -> DataFrame:
     """One row per row of docs: id_col, body (a hash of the text), source_col, size, source_size, target, copies, taken.
 
-    copies: how often the mix holds the document (0 to most), taken = copies * size. Reruns agree: blocks and
-    their order follow from ids, sizes and the seed. Nulls: a null source is a source of its own (last), a null text has
-    no words, null ids share a block's start. Repeated rows are rows of their own. If there are no words at all, or no
-    rows, nothing is taken. Other columns are not read. Texts are read once, for their sizes; only (id, source, size) moves."""
+    copies: how often the mix holds the document (0 to most), taken = copies * size. Reruns agree: blocks, their order and
+    coins follow from ids, sizes, texts and the seed. Nulls: a null source is a source of its own (last), a null text has
+    no words, a null id is like any other. Rows with equal id, source and text are one unit of the flight, however many there are:
+    what the unit takes is dealt out evenly over its rows. If there are no words at all, or no
+    rows, nothing is taken. Other columns are not read. Texts are read once, for their sizes; only (id, source, size, hash) moves."""
     spark = docs.sparkSession
     kinds = dict(docs.dtypes)
     rows = stored(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("src"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("body")), "mix-sizes")
     targets = source_targets(rows, weights, most)
     ratio = F.col("target") / F.col("source_size")
+    same = rows.groupBy("id", "src", "size", "body").agg(F.count(F.lit(1)).alias("n"))
     units = (
-        rows.join(targets, rows["src"].eqNullSafe(targets["src"]), "left")
+        same.join(targets, same["src"].eqNullSafe(targets["src"]), "left")
         .drop(targets["src"])
         .withColumn("ratio", F.when(F.col("source_size") > 0, F.least(ratio, F.lit(float(most)))).otherwise(F.lit(0.0)))
         .withColumn("whole", F.floor(F.col("ratio") + 1e-9).cast("int"))
-        .withColumn("p", F.greatest(F.col("ratio") - F.col("whole"), F.lit(0.0)))
+        .withColumn("more", F.greatest(F.col("ratio") - F.col("whole"), F.lit(0.0)) * F.col("n"))
+        .withColumn("sure", F.floor(F.col("more") + 1e-9) + F.col("whole").cast("long") * F.col("n"))
+        .withColumn("p", F.greatest(F.col("more") - F.floor(F.col("more") + 1e-9), F.lit(0.0)))
         .withColumn("luck", (F.pmod(F.xxhash64(F.lit(seed), "id", "size", "body"), F.lit(1 << 30)) / float(1 << 30)))
+        .withColumn("coin", (F.pmod(F.xxhash64(F.lit(seed + 2), "id", "size", "body"), F.lit(1 << 30)) / float(1 << 30)))
         .withColumn("blocks", F.ceil(F.col("n_docs") / block).cast("int"))
         .withColumn("part", F.pmod(F.xxhash64(F.lit(seed + 1), "id", "body"), F.col("blocks")).cast("int"))
-        .drop("ratio", "n_docs")
+        .drop("ratio", "n_docs", "more", "whole")
     )
-    schema = f"id {kinds[id_col]}, src string, size bigint, body bigint, source_size bigint, target double, whole int, p double, luck double, blocks int, part int"
+    schema = f"id {kinds[id_col]}, src string, size bigint, body bigint, n bigint, source_size bigint, target double, sure bigint, p double, luck double, coin double, blocks int, part int"
     units = units.select(*(c.split()[0] for c in schema.split(", ")))
 
     def flight(last: bool):
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values(["luck", "id", "size", "body"], kind="mergesort", na_position="first")
             size = pdf["size"].astype(float).tolist()
-            p = fly(size, pdf["p"].tolist(), pdf["luck"].tolist())
+            p = fly(size, pdf["p"].tolist(), pdf["coin"].tolist())
             return pdf.assign(p=land(size, p) if last else p)
 
         return run
@@ -135,5 +142,9 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    copies = F.col("whole") + F.col("p").cast("int")
-    return out.select(F.col("id").alias(id_col), "body", F.col("src").alias(source_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    # the rows of a unit, in chunks: total // n copies each, and one more for the first total % n
+    total = out.withColumn("total", F.col("sure") + F.col("p").cast("long"))
+    chunk = total.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / CHUNK))))
+    row = chunk.withColumn("j", F.explode(F.sequence(F.col("i") * CHUNK, F.least((F.col("i") + 1) * CHUNK, F.col("n")) - 1)))
+    copies = (F.floor(F.col("total") / F.col("n")) + (F.col("j") < F.col("total") % F.col("n")).cast("long")).cast("int")
+    return row.select(F.col("id").alias(id_col), "body", F.col("src").alias(source_col), "size", "source_size", "target", copies.alias("copies")).withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))

@@ -61,3 +61,26 @@ def test_edges(spark):
     assert [r.taken for r in make(spark, [(1, None, "a"), (None, "", None)])] == [0, 0]
     got = make(spark, [(1, "x y", "a"), (1, "x y", "a"), (2, "z", "b")])
     assert sum(r.taken for r in got) >= 4
+
+
+def test_repeated_rows_share_what_is_taken(spark):
+    rows = [(1, "x y z", "a")] * 3000 + [(2, "u v", "a")] * 7 + [(None, "q", "b")] * 5 + [(k, "w " * (k % 9), "b") for k in range(10, 400)]
+    got = make(spark, rows, block=50)
+    assert len(got) == len(rows)
+    for source in "ab":
+        own = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 9 and all(0 <= r.copies <= 3 for r in own)
+    for i in (1, 2, None):
+        copies = [r.copies for r in got if r.doc_id == i]
+        assert max(copies) - min(copies) <= 1
+
+
+def test_inclusion_probabilities():
+    rng = random.Random(12)
+    size = [float(rng.randrange(1, 50)) for _ in range(30)]
+    p = [rng.choice([0.2, 0.5, 0.8]) for _ in range(30)]
+    n, seen = 3000, [0.0] * 30
+    for _ in range(n):
+        q = M.fly(size, p, [rng.random() for _ in p])
+        seen = [a + b for a, b in zip(seen, q)]
+    assert all(abs(a / n - b) < 0.05 for a, b in zip(seen, p))
