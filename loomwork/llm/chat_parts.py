@@ -6,8 +6,9 @@ attachment is recorded with its reference, its place and its number of expanded
 
 Template: <|im_start|>ROLE<|im_sep|>CONTENT<|im_end|>, turn after turn. Inside roles and texts a
 backslash is doubled, and one is put behind the first character of whatever could open a control
-string (of this or another common template): <|, <s>, </s>, [INST], [/INST]. So no control string
-is left in what users wrote, and dropping the escapes gives it back exactly.
+string (of this or another common template): <|, <s>, </s>, [INST], [/INST], also where it begins at
+the end of a part and would end in the next. So no control string is left in what users wrote, and dropping the escapes
+gives it back exactly.
 """
 
 from __future__ import annotations
@@ -16,8 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TURN, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
-#: First characters of control strings, with what must follow.
+#: First characters of control strings, with what must follow; and those that end a part with the rest still to come.
 OPENERS = r"<(?=\||/?s>)|\[(?=/?INST\])"
+LAST_OPENERS = r"<(?=/?s?\z)|\[(?=/?(?:I(?:N(?:ST?)?)?)?\z)"
 PART = "type string, text string, ref string, width int, height int, duration_ms bigint, n_pages int"
 MESSAGE = f"array<struct<{PART.replace(' ', ':').replace(',:', ',')}>>"
 
@@ -85,7 +87,9 @@ def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
     role = F.coalesce(F.col(role_col), F.lit(""))
     seen = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), role.alias("role"), F.transform(F.coalesce(F.col(parts_col), F.array().cast(MESSAGE)), visit).alias("seen"))
     attached = F.filter(F.transform("seen", lambda p, i: F.struct(i.alias("part"), p["kind"].alias("kind"), p["ref"].alias("ref"), p["tokens"].alias("tokens"))), lambda a: a["kind"].isNotNull())
-    content = F.array_join(F.transform("seen", lambda p: p["rendered"]), "")
+    # no control string may come about where two parts meet
+    closed = F.transform("seen", lambda p, i: F.when(p["kind"].isNull() & (i < F.size("seen") - 1), F.regexp_replace(p["rendered"], LAST_OPENERS, r"$0\\")).otherwise(p["rendered"]))
+    content = F.array_join(closed, "")
     header = F.concat(F.lit(TURN), escape(F.col("role")), F.lit(SEP))
     rows = seen.select(
         "conv",
