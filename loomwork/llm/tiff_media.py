@@ -1,7 +1,8 @@
 """TIFF media columns: reading pages from TIFF bytes, and storing pixels or bytes as TIFF.
 
 read_pages walks the chain of image directories, decodes each strip or tile (none, PackBits, LZW,
-deflate), undoes horizontal differencing and puts the pieces together. Samples have 8 or 16 bits.
+deflate), undoes horizontal differencing and puts the pieces together. Samples have 1, 8 or 16 bits. Sizes are
+checked against the bytes there are before memory is taken, and no piece is unpacked beyond its pixels.
 """
 
 from __future__ import annotations
@@ -20,7 +21,11 @@ from loomwork.llm.common import text_bytes
 
 #: Fixed values of the format: compressions, tags, sizes of field types.
 NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
-WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS, PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317, 322, 323, 324, 325
+WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS, PLANAR, PREDICTOR, FILL_ORDER, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317, 266, 322, 323, 324, 325
+#: No compression makes more of a byte than this (LZW: codes of 12 bits for up to 4,094 bytes).
+MOST_RATIO = 4096
+#: What damaged bytes make of reading them.
+DAMAGE = (struct.error, KeyError, IndexError, ValueError, OverflowError, ZeroDivisionError, TypeError, MemoryError)
 FIELDS = {1: "B", 2: "s", 3: "H", 4: "I", 6: "b", 7: "B", 8: "h", 9: "i"}
 
 
@@ -68,9 +73,10 @@ def pack_bits(data: bytes) -> bytes:
     return bytes(out)
 
 
-def lzw_decode(data: bytes) -> bytes:
-    """Most significant bit first, widths change one code early."""
+def lzw_decode(data: bytes, most: int | None = None) -> bytes:
+    """Most significant bit first, widths change one code early. Ends when there are most bytes."""
     out: list[bytes] = []
+    made = 0
     entries: list[bytes] = []
     width, acc, bits, last = 9, 0, 0, None
     for byte in data:
@@ -101,6 +107,9 @@ def lzw_decode(data: bytes) -> bytes:
                 width += 1
         out.append(word)
         last = word
+        made += len(word)
+        if most is not None and made >= most:
+            break
     return b"".join(out)
 
 
@@ -134,16 +143,17 @@ def lzw_encode(data: bytes) -> bytes:
     return bytes(out + (acc << pad).to_bytes((bits + pad) // 8, "big"))
 
 
-def _decompress(data: bytes, compression: int) -> bytes:
+def _decompress(data: bytes, compression: int, most: int) -> bytes:
+    """The first most bytes of a piece."""
     if compression == NONE:
         return data
     if compression in (DEFLATE, OLD_DEFLATE):
         try:
-            return zlib.decompress(data)
+            return zlib.decompressobj().decompress(data, max(most, 1))
         except zlib.error as e:
             raise TiffError(str(e)) from None
     if compression == LZW:
-        return lzw_decode(data)
+        return lzw_decode(data, most)
     if compression == PACKBITS:
         return unpack_bits(data)
     raise TiffError(f"compression {compression} is not supported")
@@ -170,40 +180,70 @@ def _directories(data: bytes, order: str) -> Iterator[dict[int, tuple]]:
         (at,) = struct.unpack_from(order + "I", data, at + 2 + 12 * n)
 
 
-def read_pages(data: bytes) -> Iterator[tuple[int, np.ndarray, int]]:
-    """(page, pixels[height, width, samples], compression) in order of the directories.
-    TiffError if the bytes aren't a TIFF or are cut short."""
+def walk_pages(data: bytes) -> Iterator[tuple[int, np.ndarray | None, int, int, str | None]]:
+    """(page, pixels[height, width, samples], compression, bits, error) in order of the directories. A page that can't be decoded
+    has no pixels and an error, and the walk goes on. TiffError if the bytes aren't a TIFF, or a directory can't be read."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     try:
         if order is None or struct.unpack_from(order + "H", data, 2)[0] != 42:
             raise TiffError("no TIFF header")
         for page, tags in enumerate(_directories(data, order)):
-            yield page, _pixels(data, order, tags), tags.get(COMPRESSION, (NONE,))[0]
-    except (struct.error, KeyError, IndexError) as e:
+            px = error = None
+            try:
+                px = _pixels(data, order, tags)
+            except TiffError as e:
+                error = str(e)
+            except DAMAGE as e:
+                error = f"{type(e).__name__}: {e}"
+            yield page, px, (tags.get(COMPRESSION) or (NONE,))[0], (tags.get(BITS) or (1,))[0], error
+    except TiffError:
+        raise
+    except DAMAGE as e:
         raise TiffError(f"{type(e).__name__}: {e}") from None
 
 
+def read_pages(data: bytes) -> Iterator[tuple[int, np.ndarray, int]]:
+    """(page, pixels[height, width, samples], compression) in order of the directories.
+    TiffError at the first page that can't be decoded, or if the bytes aren't a TIFF."""
+    for page, px, compression, _, error in walk_pages(data):
+        if px is None:
+            raise TiffError(error)
+        yield page, px, compression
+
+
 def _pixels(data: bytes, order: str, tags: dict[int, tuple]) -> np.ndarray:
     first = lambda tag, default=None: tags[tag][0] if default is None or tag in tags else default
     width, height, samples = first(WIDTH), first(HEIGHT), first(SAMPLES, 1)
     bits, compression, predictor, planar = first(BITS, 1), first(COMPRESSION, NONE), first(PREDICTOR, 1), first(PLANAR, 1)
-    if bits not in (8, 16) or predictor not in (1, 2):
+    if len(set(tags.get(BITS, (1,)))) > 1 or bits not in (1, 8, 16) or predictor not in ((1,) if bits == 1 else (1, 2)):
         raise TiffError(f"{bits} bits a sample, predictor {predictor}")
-    kind = np.dtype("u1" if bits == 8 else order + "u2")
+    kind = np.dtype(order + "u2" if bits == 16 else "u1")
     tiled = TILE_OFFSETS in tags
     wide, high = (first(TILE_WIDTH), first(TILE_HEIGHT)) if tiled else (width, min(height, first(ROWS_PER_STRIP, height)))
     offsets, counts = (tags[TILE_OFFSETS], tags[TILE_COUNTS]) if tiled else (tags[STRIP_OFFSETS], tags[STRIP_COUNTS])
+    if min(width, height, samples, wide, high) < 1:
+        raise TiffError("a size is 0")
     planes, deep = (samples, 1) if planar == 2 else (1, samples)
     across, down = -(-width // wide), -(-height // high)
+    if len(offsets) != len(counts) or len(offsets) != across * down * planes:
+        raise TiffError(f"{len(offsets)} offsets and {len(counts)} counts for {across * down * planes} strips or tiles")
+    line = (wide * deep * bits + 7) // 8  # bytes of a row of a piece
+    there = sum(max(0, min(count, len(data) - offset)) for offset, count in zip(offsets, counts))
+    if max(height * width * samples * bits // 8, across * line * high if tiled else 0) > MOST_RATIO * there:
+        raise TiffError(f"{height} x {width} x {samples} pixels can't be in {there} bytes")
     out = np.zeros((height, width, samples), kind.newbyteorder("="))
-    for k, (offset, count) in enumerate(zip(offsets, counts, strict=True)):
+    for k, (offset, count) in enumerate(zip(offsets, counts)):
         plane, place = divmod(k, across * down)
         y, x = place // across * high, place % across * wide
         rows = high if tiled else min(high, height - y)
-        raw = _decompress(data[offset : offset + count], compression)
-        if plane >= planes or len(raw) < rows * wide * deep * kind.itemsize:
+        raw = _decompress(data[offset : offset + count], compression, rows * line)
+        if len(raw) < rows * line:
             raise TiffError("a strip or tile is cut short")
-        block = np.frombuffer(raw, kind, rows * wide * deep).reshape(rows, wide, deep).astype(out.dtype)
+        if bits == 1:
+            lines = np.frombuffer(raw, np.uint8, rows * line).reshape(rows, line)
+            block = np.unpackbits(lines, axis=1, bitorder="little" if first(FILL_ORDER, 1) == 2 else "big")[:, : wide * deep].reshape(rows, wide, deep)
+        else:
+            block = np.frombuffer(raw, kind, rows * wide * deep).reshape(rows, wide, deep).astype(out.dtype)
         if predictor == 2:
             block = np.cumsum(block, axis=1, dtype=out.dtype)
         part = block[: height - y, : width - x]
@@ -253,8 +293,9 @@ def write_tiff(pages: list[np.ndarray], compression: int = DEFLATE, predictor: i
 def tiff_pages(media: DataFrame, id_col: str, bytes_col: str) -> DataFrame:
     """One row per page of each TIFF: id_col, page, width, height, samples, bits, compression, pixels, error.
 
-    pixels: the samples row by row, little-endian. Nulls and bytes that cannot be read give one row with
-    page -1, the reason in error and nulls elsewhere; pages before a damaged one are kept. Repeated rows give
+    pixels: the samples row by row, little-endian; samples of 1 bit are a byte each. A page that cannot be decoded gives a row
+    with its number, the reason in error and nulls elsewhere, and the pages after it follow. Nulls, bytes that are no TIFF and
+    a chain of directories that breaks give such a row with page -1, after the pages that were read. Repeated rows give
     repeated pages, empty tables empty tables; other columns are not read."""
     kind = dict(media.dtypes)[id_col]
 
@@ -263,8 +304,8 @@ def tiff_pages(media: DataFrame, id_col: str, bytes_col: str) -> DataFrame:
             for i, data in enumerate(batch.column(1).to_pylist()):
                 key, rows = batch.column(0).slice(i, 1), []
                 try:
-                    for page, px, compression in read_pages(data or b""):
-                        yield row(key, (page, px.shape[1], px.shape[0], px.shape[2], 8 * px.itemsize, compression, px.astype(px.dtype.newbyteorder("<")).tobytes(), None))
+                    for page, px, compression, bits, error in walk_pages(data or b""):
+                        yield row(key, (page, None, None, None, None, None, None, error) if px is None else (page, px.shape[1], px.shape[0], px.shape[2], bits, compression, px.astype(px.dtype.newbyteorder("<")).tobytes(), None))
                 except TiffError as e:
                     yield row(key, (-1, None, None, None, None, None, None, str(e)))
                 del rows
