@@ -36,20 +36,27 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group (five-word shingles, a similarity of at least ALIKE_PERCENT) stays: the one with the
-    least id. Rows that share an id are one document and stay or go together; rows without an id stay."""
-    marked = minhash_join.near_duplicates(docs, percent=ALIKE_PERCENT)
-    gone = marked.filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each group (five-word shingles, a similarity of at least ALIKE_PERCENT) stays: the one with the
+    least id. Groups are of rows: with ids repeated or null, unlike texts are different documents and equal rows are copies."""
+    return minhash_join.keep_one(docs.select(*COLUMNS), percent=ALIKE_PERCENT)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    copies = cube_mix.mix_sources(docs).filter("copies > 0")
-    copies = copies.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("k_id"), F.col("body").alias("k_body"), "copies").groupBy("k_id", "k_body").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
-    own = _with_key(docs).join(copies, ["k_id", "k_body"])
-    times = F.ceil(F.col("copies") / F.col("rows")).cast("int")
-    return own.withColumn("again", F.explode(F.sequence(F.lit(1), times))).select(*COLUMNS)
+    """Each document as often as the mix takes it. Of rows with equal id, source and text the one whose other columns are
+    least is repeated as often as the mix takes them all."""
+    mix = cube_mix.mix_sources(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("k_id"), F.col("body").alias("k_body"), F.col("source").alias("k_source"), "copies")
+    mix = stored(mix.groupBy("k_id", "k_body", "k_source").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows")).filter("copies > 0"), "mix")
+    own = _with_key(docs)
+    met = lambda left, right: left.join(right, (left["k_id"] == right["k_id"]) & (left["k_body"] == right["k_body"]) & left["source"].eqNullSafe(right["k_source"]))
+    taken = met(own, mix.filter("rows = 1")).select(*COLUMNS, "copies")
+    several = mix.filter("rows > 1")
+    if several.limit(1).count():
+        least = met(own, several).groupBy(own["k_id"], own["k_body"], own["source"], "copies").agg(F.min(F.struct("doc_id", "text", "lang", "n_chars")).alias("row"))
+        taken = taken.unionByName(least.select("row.*", "source", "copies"))
+    # in chunks, so that no row becomes an array of unbounded length
+    chunk = taken.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / cube_mix.CHUNK))))
+    again = F.sequence(F.col("chunk") * cube_mix.CHUNK + 1, F.least((F.col("chunk") + 1) * cube_mix.CHUNK, F.col("copies")))
+    return chunk.withColumn("again", F.explode(again)).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
