@@ -61,3 +61,20 @@ def test_nulls_and_empty_tables(spark):
 def test_run_is_the_stages_in_a_row(spark):
     out = P.run(spark, SF)
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.filter(F.col("n_tokens") < 0).count() == 0 < out.count()
+
+
+def test_rows_that_repeat_or_lack_ids(spark):
+    """Near-duplicates go by row; the mix takes of equal rows what it says in all, whatever else they hold."""
+    a, b = "a b c d e f g", "h i j k l m n"
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, extra int"
+    rows = [(5, a, "x", "s", 1, 0), (6, b, "x", "s", 1, 0), (9, a, "x", "s", 1, 0), (9, b, "x", "s", 1, 0), (9, "o p q r s t", "x", "s", 1, 0), (None, "u v w x y z", "x", "s", 1, 0), (None, "u v w x y z", None, "s", 1, 0), (None, "q q", "x", "s", 1, 0), (7, "", "x", "s", 1, 0), (7, None, "x", "s", 1, 0)]
+    near = P.drop_near_duplicates(spark, spark.createDataFrame(rows, schema), SF)
+    assert near.columns == list(P.COLUMNS)
+    got = Counter((r.doc_id, r.text) for r in near.collect())
+    assert got == Counter({(5, a): 1, (6, b): 1, (9, "o p q r s t"): 1, (None, "u v w x y z"): 1, (None, "q q"): 1, (7, ""): 1, (7, None): 1})
+    for n in (5, 6, 7, 8):
+        docs = spark.createDataFrame([(1, "x y", "en" if k else "de", "s", 3, k) for k in range(n)] + [(k, "w " * k, None, "t", 3, 0) for k in range(20)] + [(None, "n", None, None, 1, 0)] * 3, schema)
+        taken = Counter()
+        for r in cube_mix.mix_sources(docs).collect():
+            taken[r.doc_id, r.source] += r.copies
+        assert Counter((r.doc_id, r.source) for r in P.mix_sources(spark, docs, SF).collect()) == +taken
