@@ -2,16 +2,35 @@
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from loomwork.functions.vocab import BASE, Vocabulary
 
-# Words of C that are never identifiers to rename.
-RESERVED = (
+# Words of C and C++ that are never identifiers to rename: keywords, and names of the standard library.
+KEYWORDS = (
     "auto break case char const continue default do double else enum extern float for goto if inline int long register restrict return "
-    "short signed sizeof static struct switch typedef union unsigned void volatile while main printf scanf malloc free NULL size_t strlen"
+    "short signed sizeof static struct switch typedef union unsigned void volatile while bool true false NULL nullptr class public private "
+    "protected virtual template typename namespace using new delete this try catch throw const_cast dynamic_cast static_cast "
+    "reinterpret_cast operator friend explicit mutable asm wchar_t typeid and or not xor bitand bitor compl and_eq or_eq xor_eq not_eq"
+).split()
+LIBRARY = (
+    "printf scanf fprintf fscanf sprintf sscanf puts gets getchar putchar fgets fputs malloc calloc realloc free memset memcpy memmove memcmp "
+    "strlen strcpy strncpy strcat strncat strcmp strncmp strstr strchr strrchr atoi atof atol strtol strtod abs fabs sqrt pow exp log log10 "
+    "sin cos tan asin acos atan atan2 ceil floor round rand srand time exit abort assert fopen fclose fread fwrite fseek ftell rewind "
+    "qsort bsearch isalpha isdigit isalnum isspace isupper islower toupper tolower main cin cout cerr endl string vector map set queue stack "
+    "pair sort reverse max min swap push_back pop_back begin end size empty clear find insert erase front back top push pop first second "
+    "make_pair lower_bound upper_bound next_permutation prev_permutation accumulate fill count unique nth_element partial_sort "
+    "priority_queue deque list bitset algorithm iostream cstdio cstdlib cstring cmath climits cfloat cassert cctype ctime fstream sstream "
+    "iomanip numeric functional iterator utility INT_MAX INT_MIN LONG_MAX LONG_MIN DBL_MAX DBL_MIN LLONG_MAX LLONG_MIN UINT_MAX SIZE_MAX "
+    "std ios istream ostream getline to_string stoi stol stof stod include define ifdef ifndef endif pragma MAXN MOD INF EPS PI N M"
 ).split()
+RESERVED = KEYWORDS + LIBRARY
+# What is taken out of C code before identifiers are looked for, and what stands for it.
+COMMENTS = ((r'"[^"\\]*(?:\\.[^"\\]*)*"', '""'), (r"'[^'\\]*(?:\\.[^'\\]*)*'", "''"), (r"//[^\n]*", ""), (r"(?s)/\*.*?\*/", ""), (r"#\s*[A-Za-z0-9_]+[^\n]*", ""))
 
 
 def tokens(text: Column, vocab: Vocabulary = BASE) -> Column:
@@ -19,9 +38,14 @@ def tokens(text: Column, vocab: Vocabulary = BASE) -> Column:
 
 
 def token_ids(tok: Column, vocab: Vocabulary = BASE) -> Column:
-    """Null for a token that isn't a keyword."""
-    ids = vocab.id_map()
-    return F.transform(tok, lambda t: F.try_element_at(ids, t))
+    """Null for a token that isn't a keyword. Keywords of one character are found by their place in a text of all of them."""
+    singles = [k for k in vocab.keywords if len(k) == 1]
+    at = vocab.ids
+    if [at[k] for k in singles] != list(range(len(vocab.keywords) - len(singles), len(vocab.keywords))):
+        raise ValueError("keywords of one character come last")
+    longer = F.create_map(*(F.lit(x) for k, i in at.items() if len(k) > 1 for x in (k, i)))
+    place = lambda t: F.nullif(F.instr(F.lit("".join(singles)), t), F.lit(0)) + F.lit(len(vocab.keywords) - len(singles) - 1)
+    return F.transform(tok, lambda t: F.when(F.length(t) == 1, place(t)).otherwise(F.try_element_at(longer, t)))
 
 
 def tokens_of(ids: Column, vocab: Vocabulary = BASE) -> Column:
@@ -40,6 +64,11 @@ def boundaries(tok: Column, vocab: Vocabulary = BASE) -> Column:
     return F.concat(places, F.array(F.size(tok)))
 
 
+def boundaries_of(text: Column, vocab: Vocabulary = BASE) -> Column:
+    """boundaries() of a text's tokens, which are cut once."""
+    return F.get(F.transform(F.array(tokens(text, vocab)), lambda tok: boundaries(tok, vocab)), F.lit(0))
+
+
 def two_back_spans(bounds: Column) -> Column:
     """Differences between each boundary and the one two before it."""
     n = F.size(bounds)
@@ -73,7 +102,7 @@ def base26(number: Column, length: int) -> Column:
 
 def without_comments(code: Column) -> Column:
     """C code without the contents of strings and characters, comments and preprocessor lines."""
-    for pattern, to in ((r'"[^"\\]*(?:\\.[^"\\]*)*"', '""'), (r"'[^'\\]*(?:\\.[^'\\]*)*'", "''"), (r"//[^\n]*", ""), (r"(?s)/\*.*?\*/", ""), (r"#\s*[A-Za-z0-9_]+[^\n]*", "")):
+    for pattern, to in COMMENTS:
         code = F.regexp_replace(code, pattern, to)
     return code
 
@@ -81,8 +110,21 @@ def without_comments(code: Column) -> Column:
 def identifiers(code: Column, reserved: list[str] = RESERVED) -> Column:
     """Sorted distinct identifiers of ASCII letters, digits and _, without reserved words and those that begin with __."""
     runs = F.regexp_extract_all(without_comments(code), F.lit("[A-Za-z0-9_]+"), F.lit(0))
-    keep = F.filter(runs, lambda w: w.rlike("^[A-Za-z_]") & ~w.startswith("__") & ~w.isin(*reserved))
-    return F.array_sort(F.array_distinct(keep))
+    distinct = F.array_distinct(F.filter(runs, lambda w: w.rlike("^[A-Za-z_]") & ~w.startswith("__")))
+    return F.array_sort(F.array_except(distinct, F.array(*map(F.lit, reserved))))
+
+
+def once(column: Column, make) -> Column:
+    """make(column) as a generator of one row: the column is computed once, however often make uses it and filters are pushed down."""
+    return F.explode(F.transform(F.array(column), make))
+
+
+def fresh_names(names: Column, words: Column, tail: Column) -> Column:
+    """var_<place>_<tail> for each of names; filled up with _ beyond the longest word that begins with var_ if the text has such a word
+    already, so that no new name is that of another variable."""
+    longest = F.coalesce(F.array_max(F.transform(F.filter(words, lambda w: w.startswith("var_")), F.length)), F.lit(0))
+    name = lambda i: F.concat(F.lit("var_"), i.cast("string"), F.lit("_"), tail.cast("string"))
+    return F.transform(names, lambda x, i: F.when(F.array_contains(words, name(i)), F.rpad(name(i), longest + 1, F.lit("_"))).otherwise(name(i)))
 
 
 def rename(code: Column, names: Column) -> Column:
@@ -100,6 +142,17 @@ def u01(*parts: Column | str | int) -> Column:
     return u01_of(F.sha2(text, 256))
 
 
+def hashed(*parts: Column | str | int) -> Column:
+    """The whole hash that u01 begins with: an order by it has no ties but those of the parts."""
+    return F.sha2(F.concat_ws(":", *(p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts)), 256)
+
+
 def u01_of(digest: Column, k: int = 0) -> Column:
     """The k-th number (0 to 3) in [0, 1) of a hexadecimal SHA-256: 13 digits each."""
     return F.conv(F.substring(digest, 13 * k + 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
+
+
+def below(digest: Column, share: float, k: int = 0) -> Column:
+    """Whether u01_of(digest, k) < share, by the digits as they are."""
+    least = math.ceil(Fraction(share) * 16**13)
+    return F.substring(digest, 13 * k + 1, 13) < f"{least:013x}" if least < 16**13 else F.lit(True)

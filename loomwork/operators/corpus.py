@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,21 +12,36 @@ from pyspark.sql import functions as F
 from loomwork.functions import text as T
 
 
-def with_ordinal(df: DataFrame, key: str, name: str = "rn") -> tuple[DataFrame, int]:
-    """Adds the 1-based rank by key (a number, unique) and returns the number of rows too.
-
-    Ranges of the key are ranked each in a task of its own and shifted by the sizes of those before (one number a range)."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = sorted(set(df.approxQuantile(key, [k / parts for k in range(1, parts)], 0.1 / parts))) if parts > 1 else []
-    part = F.size(F.filter(F.lit(cuts), lambda c: c <= F.col(key))) if cuts else F.lit(0)
-    sizes = {r.p: r["count"] for r in df.select(part.alias("p")).groupBy("p").count().collect()}
-    shift, starts = 0, {}
-    for p in sorted(sizes):
-        starts[p] = shift
-        shift += sizes[p]
-    start = F.try_element_at(F.create_map(*(F.lit(x).cast("long") for kv in (starts or {0: 0}).items() for x in kv)), F.col("_part").cast("long"))
-    ranked = df.withColumn("_part", part).withColumn(name, F.row_number().over(W.partitionBy("_part").orderBy(key)) + start)
-    return ranked.drop("_part"), shift
+def settled(df: DataFrame) -> DataFrame:
+    """df written to the folder that the driver and all executors share (spark.checkpoint.dir) and read back: what led to it isn't
+    run again. Only where all of Spark runs on this machine and nothing is set, that is a local folder."""
+    spark = df.sparkSession
+    place = spark.conf.get("spark.checkpoint.dir", None)
+    if not place:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        place = f"file://{tempfile.mkdtemp(prefix='loomwork-')}"
+        spark.conf.set("spark.checkpoint.dir", place)
+    path = f"{place.rstrip('/')}/loomwork-settled-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def with_ordinal(df: DataFrame, key: str, name: str = "rn", then: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
+    """Adds the 1-based rank by key, ties by the columns in then, and returns the number of rows too. Nulls come first.
+
+    Ranges of the order go to tasks as Spark's range partitioner deals them, are ranked each in a task of its own and shifted by the sizes
+    of those before: one number for each range is all that meets."""
+    order = [key, *then]
+    dealt = settled(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = sorted((r[0], r[1]) for r in dealt.groupBy("_part").agg(F.count(F.lit(1))).collect())
+    shift, starts = 0, []
+    for p, n in sizes:
+        starts.append((p, shift))
+        shift += n
+    start = df.sparkSession.createDataFrame(starts, "_part int, _start bigint")
+    ranked = dealt.withColumn(name, F.row_number().over(W.partitionBy("_part").orderBy(*order))).join(F.broadcast(start), "_part")
+    return ranked.withColumn(name, F.col(name) + F.col("_start")).drop("_part", "_start"), shift
 
 
 def dedup_keep_first(df: DataFrame, text: str = "text", order: str = "doc_id") -> DataFrame:
@@ -48,9 +66,8 @@ def split_fraction(rn: Column, n: int, train: float = 0.8, val: float = 0.1) ->
 
 def route_by_span(df: DataFrame, block: int = 512, text: str = "text") -> DataFrame:
     """status valid or rejected, reason, span: rejected if two steps together exceed the block; the first such span is told."""
-    cut = df.withColumn("_tok", T.tokens(F.col(text))).withColumn("_bounds", T.boundaries(F.col("_tok"))).drop("_tok")
-    over = F.try_element_at(F.filter(T.two_back_spans(F.col("_bounds")), lambda x: x > block), F.lit(1))
-    cut = cut.withColumn("span", over).drop("_bounds")
+    over = lambda bounds: F.try_element_at(F.filter(T.two_back_spans(bounds), lambda x: x > block), F.lit(1))
+    cut = df.select("*", T.once(T.boundaries_of(F.col(text)), over).alias("span"))
     return cut.withColumn("status", F.when(F.col("span").isNull(), "valid").otherwise("rejected")).withColumn("reason", F.when(F.col("span").isNotNull(), F.concat(F.lit("Pair length too long: "), F.col("span").cast("string"))))
 
 

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Vectors in a block on average: a task holds a block of queries and a block of the gallery.
-BLOCK = 4096
+#: Queries in a block, at most and (if that makes more tasks) at least; places that a block keeps.
+BLOCK, LEAST_BLOCK, HELD = 4096, 128, 4_000_000
 
 
 def normalised(df: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -18,44 +17,97 @@ def normalised(df: DataFrame, vector: str = "embedding") -> DataFrame:
     return df.withColumn("v", v).withColumn("norm", norm).withColumn("v", F.transform("v", lambda x: x / F.greatest(F.col("norm"), F.lit(1e-10)))).drop("norm", vector)
 
 
+def _search(queries: DataFrame, gallery: DataFrame, most: int, finish, schema: str, block: int) -> DataFrame:
+    """finish(q_id, q_label, k, ids, labels, scores) -> columns of rows, for each query (vec_id, label, v, k): its k (at most most) gallery
+    vectors (vec_id, label, v) of the highest scores, the query's own id left out, ties by the smaller id, highest first.
+
+    Queries are dealt out to blocks once; the gallery streams past each block in Arrow batches and is never held. A task
+    keeps k places for each of its queries, so blocks are smaller where k is large."""
+    n = queries.count()
+    spark = queries.sparkSession
+    parts = max(1, -(-n // max(1, min(block, HELD // max(most, 1)))), min(spark.sparkContext.defaultParallelism, n // LEAST_BLOCK))
+    where = F.lit(parts).cast("long")
+    asked = queries.select(F.pmod(F.xxhash64("vec_id"), where).cast("int").alias("b"), F.lit(0).alias("side"), "vec_id", "label", F.col("k").cast("long").alias("k"), "v")
+    told = gallery.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("b"), F.lit(1).alias("side"), "vec_id", "label", F.lit(0).cast("long").alias("k"), "v")
+    dealt = asked.unionByName(told).repartitionById(parts, F.col("b")).sortWithinPartitions("b", "side", "vec_id")
+
+    def run(batches):
+        mark, asked = None, None
+
+        def done():
+            if asked is not None:
+                yield from finish(asked["id"], asked["label"], asked["k"], asked["ids"], asked["labels"], asked["scores"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            b, side = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = (np.flatnonzero((b[1:] != b[:-1]) | (side[1:] != side[:-1])) + 1).tolist()
+            for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows]):
+                ids, labels, k = (batch.column(c).slice(lo, hi - lo).to_numpy(zero_copy_only=False) for c in (2, 3, 4))
+                v = batch.column(5).slice(lo, hi - lo).flatten().to_numpy().reshape(hi - lo, -1)
+                if b[lo] != mark:
+                    yield from done()
+                    mark, asked = b[lo], None
+                if side[lo] == 0:
+                    none = [np.zeros(0, ids.dtype)] * len(ids), [np.zeros(0, labels.dtype)] * len(ids), [np.zeros(0)] * len(ids)
+                    if asked is None:
+                        asked = {"id": ids, "label": labels, "k": k, "v": v, "ids": none[0], "labels": none[1], "scores": none[2]}
+                    else:
+                        asked = {n: (x + dict(zip(("ids", "labels", "scores"), none))[n] if isinstance(x, list) else np.concatenate([x, {"id": ids, "label": labels, "k": k, "v": v}[n]])) for n, x in asked.items()}
+                elif asked is not None:
+                    for at in range(0, len(ids), 2048):
+                        _meet(asked, ids[at : at + 2048], labels[at : at + 2048], v[at : at + 2048])
+        yield from done()
+
+    return dealt.mapInArrow(run, schema)
+
+
+def _meet(asked: dict, ids: np.ndarray, labels: np.ndarray, v: np.ndarray) -> None:
+    """Puts what a piece of the gallery (in order of ids, after all before it) has for each query among its best."""
+    score = asked["v"] @ v.T
+    score[asked["id"][:, None] == ids[None, :]] = -np.inf
+    best = score.max(axis=1)
+    for q in range(len(score)):
+        k, held = int(asked["k"][q]), asked["scores"][q]
+        least = held[-1] if len(held) >= k else -np.inf
+        if best[q] <= least:  # of equal scores the earlier id stays
+            continue
+        own = score[q]
+        new = np.flatnonzero(own == best[q])[:1] if k == 1 else np.flatnonzero(own > least)
+        if len(new) > k:
+            new = new[own[new] >= np.partition(own[new], len(new) - k)[len(new) - k]]
+        order = np.argsort(-np.concatenate([held, own[new]]), kind="stable")[:k]
+        for name, more in (("scores", own), ("ids", ids), ("labels", labels)):
+            asked[name][q] = np.concatenate([asked[name][q], more[new]])[order]
+
+
 def neighbours(queries: DataFrame, gallery: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """q_id, q_label, c_id, c_label, score, rank: the k gallery vectors (vec_id, label, v) nearest to each query, the query's own id
-    left out; ties go to the smaller id.
-
-    Each pair of blocks is a task; it gives at most k rows for each of its queries, so no pair of vectors becomes a row unless
-    it can be a result."""
-    parts = max(1, -(-gallery.count() // block))
-    hashed = lambda df, name: df.withColumn(name, F.pmod(F.xxhash64("vec_id"), F.lit(parts)))
-    queries, gallery = (df.select("vec_id", "label", "v").toDF("vec_id", "label", "v") for df in (queries, gallery))
-    q = hashed(queries, "qb").withColumn("gb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-    g = hashed(gallery, "gb").withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-
-    def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({c: pd.Series(dtype=t) for c, t in (("q_id", "int64"), ("q_label", "int32"), ("c_id", "int64"), ("c_label", "int32"), ("score", "float64"))})
-        b = b.sort_values("vec_id", kind="mergesort")
-        ids, labels, vectors = b["vec_id"].to_numpy(), b["label"].to_numpy(), np.stack(b["v"].to_numpy())
+    left out; ties go to the smaller id. The search is exact: each query meets each vector, in memory alone."""
+
+    def finish(q_id, q_label, k, ids, labels, scores):
+        n = np.array([len(x) for x in ids], np.int64)
+        if n.sum():
+            rank = np.concatenate([np.arange(1, m + 1) for m in n])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_id, n)), pa.array(np.repeat(q_label, n)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(labels)), pa.array(np.concatenate(scores)), pa.array(rank, pa.int32())], ["q_id", "q_label", "c_id", "c_label", "score", "rank"])
+
+    return _search(queries.withColumn("k", F.lit(k)), gallery, k, finish, "q_id long, q_label int, c_id long, c_label int, score double, rank int", block)
+
+
+def map_at_r(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
+    """One row (n_queries, map_at_r): for each query the mean over its class size - 1 = R best ranks of hits so far / rank at hits.
+
+    Each query has its own R; a task gives one number for each query, and no pair becomes a row."""
+    r = vectors.groupBy("label").agg((F.count(F.lit(1)) - 1).alias("k")).filter("k > 0")
+    most = r.agg(F.max("k")).first()[0] or 1
+
+    def finish(q_id, q_label, k, ids, labels, scores):
         out = []
-        for lo in range(0, len(a), 512):
-            part = a.iloc[lo : lo + 512]
-            score = np.stack(part["v"].to_numpy()) @ vectors.T
-            score[part["vec_id"].to_numpy()[:, None] == ids[None, :]] = -np.inf
-            top = np.argsort(-score, axis=1, kind="stable")[:, :k]
-            out.append(pd.DataFrame({"q_id": np.repeat(part["vec_id"].to_numpy(), top.shape[1]), "q_label": np.repeat(part["label"].to_numpy(), top.shape[1]), "c_id": ids[top].ravel(), "c_label": labels[top].ravel(), "score": np.take_along_axis(score, top, 1).ravel()}))
-        found = pd.concat(out)
-        return found[found["score"] > -np.inf]
-
-    near = q.groupBy("qb", "gb").cogroup(g.groupBy("qb", "gb")).applyInPandas(search, "q_id long, q_label int, c_id long, c_label int, score double")
-    rank = F.row_number().over(W.partitionBy("q_id").orderBy(F.desc("score"), "c_id"))
-    return near.withColumn("rank", rank).filter(F.col("rank") <= k)
-
-
-def map_at_r(vectors: DataFrame) -> DataFrame:
-    """One row (n_queries, map_at_r): for each query the mean over its class size - 1 = R best ranks of hits so far / rank at hits."""
-    r = vectors.groupBy("label").agg((F.count(F.lit(1)) - 1).alias("r")).filter("r > 0")
-    most = r.agg(F.max("r")).first()[0] or 1
-    ranked = neighbours(vectors, vectors, int(most)).join(F.broadcast(r), F.col("q_label") == r["label"]).filter("rank <= r")
-    hit = (F.col("q_label") == F.col("c_label")).cast("int")
-    running = F.sum(hit).over(W.partitionBy("q_id").orderBy("rank").rowsBetween(W.unboundedPreceding, 0))
-    per = ranked.withColumn("part", F.when(hit == 1, running / F.col("rank")).otherwise(0.0)).groupBy("q_id", "r").agg(F.sum("part").alias("s"))
-    return per.agg(F.count(F.lit(1)).alias("n_queries"), F.round(F.avg(F.col("s") / F.col("r")), 8).alias("map_at_r"))
+        for own, n, found in zip(q_label, k, labels):
+            hit = found == own
+            out.append(float((np.cumsum(hit) / np.arange(1, len(hit) + 1))[hit].sum() / n))
+        yield pa.RecordBatch.from_arrays([pa.array(q_id), pa.array(out, pa.float64())], ["q_id", "part"])
+
+    per = _search(vectors.join(r, "label"), vectors, int(most), finish, "q_id long, part double", block)
+    return per.agg(F.count(F.lit(1)).alias("n_queries"), F.round(F.avg("part"), 8).alias("map_at_r"))

@@ -151,11 +151,11 @@ d AS (SELECT doc_id, n, row_number() OVER (ORDER BY doc_id) AS rn FROM b WHERE l
 SELECT CASE WHEN rn <= 100 THEN 'test' WHEN rn <= 200 THEN 'val' ELSE 'train' END AS split, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens, max(n) AS max_tokens FROM d GROUP BY 1""")
 def corpus_slice(spark, sf_dir):
     """The flagship: dedup, tokenise, determinism filter, ordinal split, statistics."""
-    first = C.dedup_keep_first(docs(spark, sf_dir).select("doc_id", "text")).select("doc_id", as_steps().alias("text"))
-    tok = first.select("doc_id", T.tokens(F.col("text")).alias("tok"))
-    cut = tok.select("doc_id", F.size("tok").cast("long").alias("n"), T.boundaries(F.col("tok")).alias("bounds"))
-    sized = cut.filter(~F.exists(T.two_back_spans(F.col("bounds")), lambda x: x > 512)).select("doc_id", "n").persist()
-    ranked, _ = C.with_ordinal(sized, "doc_id")
+    first = C.dedup_keep_first(docs(spark, sf_dir).select("doc_id", "text"))
+    # the last boundary is the number of tokens
+    seen = lambda b: F.struct(F.element_at(b, -1).cast("long").alias("n"), F.exists(T.two_back_spans(b), lambda x: x > 512).alias("over"))
+    cut = first.select("doc_id", T.once(T.boundaries_of(as_steps()), seen).alias("s"))
+    ranked, _ = C.with_ordinal(C.settled(cut.filter("not s.over").select("doc_id", F.col("s.n").alias("n"))), "doc_id")
     split = F.when(F.col("rn") <= 100, "test").when(F.col("rn") <= 200, "val").otherwise("train")
     return ranked.groupBy(split.alias("split")).agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n_tokens"), F.max("n").alias("max_tokens"))
 
@@ -304,13 +304,13 @@ def hash_sample_k(spark, sf_dir):
 def fraction_sample(spark, sf_dir):
     df = read(spark, sf_dir, "documents").select("doc_id")
     k = max(1, int(df.count() * 0.1))
-    ranked, _ = C.with_ordinal(df.select("doc_id", T.u01(8, F.col("doc_id")).alias("u")), "u", "pos")
+    ranked, _ = C.with_ordinal(df.select("doc_id", T.hashed(8, F.col("doc_id")).alias("h")), "h", "pos", ("doc_id",))
     return ranked.filter(F.col("pos") <= k).select("doc_id", F.col("pos").cast("long").alias("pos"))
 
 
 @query("SELECT doc_id, row_number() OVER (ORDER BY sha256('9:' || doc_id)) AS pos FROM documents")
 def shuffle_order(spark, sf_dir):
-    ranked, _ = C.with_ordinal(read(spark, sf_dir, "documents").select("doc_id", T.u01(9, F.col("doc_id")).alias("u")), "u", "pos")
+    ranked, _ = C.with_ordinal(read(spark, sf_dir, "documents").select("doc_id", T.hashed(9, F.col("doc_id")).alias("h")), "h", "pos", ("doc_id",))
     return ranked.select("doc_id", F.col("pos").cast("long").alias("pos"))
 
 
@@ -440,8 +440,8 @@ def result_grid(spark, sf_dir):
 
 @query(f"SELECT CAST(floor((rn - 1) / 64) AS BIGINT) AS batch, count(*) AS n, max(n_tok) AS longest FROM (SELECT n_tok, row_number() OVER (ORDER BY doc_id) AS rn FROM (SELECT doc_id, len({TOK}) AS n_tok FROM {DOCS})) GROUP BY 1")
 def batch_chunks(spark, sf_dir):
-    df, _ = C.with_ordinal(docs(spark, sf_dir).select("doc_id", "text"), "doc_id")
-    return df.select(F.floor((F.col("rn") - 1) / 64).cast("long").alias("batch"), F.size(T.tokens(F.col("text"))).cast("long").alias("n_tok")).groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.max("n_tok").alias("longest"))
+    df, _ = C.with_ordinal(C.settled(docs(spark, sf_dir).select("doc_id", F.size(T.tokens(F.col("text"))).cast("long").alias("n_tok"))), "doc_id")
+    return df.select(F.floor((F.col("rn") - 1) / 64).cast("long").alias("batch"), "n_tok").groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.max("n_tok").alias("longest"))
 
 
 @query("SELECT i AS it, round(CASE WHEN i < 100 THEN 0.001 * i / 100 WHEN i > 900 THEN 0.0001 ELSE 0.0001 + 0.5 * (1.0 + cos(pi() * (i - 100) / 800.0)) * (0.001 - 0.0001) END, 10) AS lr FROM range(0, 1000) r(i)")
@@ -504,7 +504,7 @@ def map_at_r(spark, sf_dir):
 def retention(spark, sf_dir):
     """Only what was right before is asked again, against the gallery as it was."""
     v = _vectors(spark, sf_dir)
-    right = knn.neighbours(v, v, 1).filter("q_label = c_label").select(F.col("q_id").alias("vec_id")).persist()
+    right = C.settled(knn.neighbours(v, v, 1).filter("q_label = c_label").select(F.col("q_id").alias("vec_id")))
     moved = v.join(right, "vec_id", "left_semi").withColumn("v", F.transform("v", lambda x, i: F.when((F.col("vec_id") % 4 != 0) & (i % 3 == 0), -x).otherwise(x)))
     n0 = right.count()
     again = knn.neighbours(moved, v, 1).agg(F.lit(n0).cast("long").alias("correct_0"), F.count_if(F.col("q_label") == F.col("c_label")).alias("correct_n"))
@@ -525,21 +525,43 @@ def positive_pairs(spark, sf_dir):
 # -- renaming ------------------------------------------------------------------------------------
 
 STRIP = "code"
-for _p, _to in ((r'"[^"\\]*(?:\\.[^"\\]*)*"', '""'), (r"'[^'\\]*(?:\\.[^'\\]*)*'", "''"), (r"//[^\n]*", ""), (r"(?s)/\*.*?\*/", ""), (r"#\s*[A-Za-z0-9_]+[^\n]*", "")):
+for _p, _to in T.COMMENTS:
     STRIP = f"regexp_replace({STRIP}, {quoted(_p)}, {quoted(_to)}, 'g')"
 RES = "[" + ", ".join(map(quoted, T.RESERVED)) + "]"
 IDENT = f"(SELECT page_id, code, list_sort(list_distinct(list_filter(regexp_extract_all({STRIP}, '[A-Za-z0-9_]+'), lambda w: regexp_matches(w, '^[A-Za-z_]') AND w[1:2] <> '__' AND NOT list_contains({RES}, w)))) AS vars FROM (SELECT page_id, html AS code FROM pages WHERE html IS NOT NULL))"
-RMAP = f"(SELECT page_id, code, vars, [x.v FOR x IN list_sort(list_transform(vars, lambda v: {{'h': sha256('3:' || page_id || ':' || v), 'v': v}}))[1:4]] AS picked FROM {IDENT})"
+RALL = f"(SELECT page_id, code, vars, [x.v FOR x IN list_sort(list_transform(vars, lambda v: {{'h': sha256('3:' || page_id || ':' || v), 'v': v}}))] AS ordered, regexp_extract_all(code, '[A-Za-z0-9_]+') AS words FROM {IDENT})"
+RMAP = f"(SELECT *, ordered[1:4] AS picked FROM {RALL})"
+
+
+def renamed_sql(picked):
+    """The code with the identifiers in picked renamed; new names as text.fresh_names makes them."""
+    name = f"'var_' || (list_position({picked}, w) - 1) || '_' || page_id"
+    longest = "coalesce(list_max(list_transform(list_filter(words, lambda x: starts_with(x, 'var_')), lambda x: length(x))), 0)"
+    fresh = f"CASE WHEN list_contains(words, {name}) THEN rpad({name}, CAST({longest} + 1 AS INT), '_') ELSE {name} END"
+    return f"sha256(coalesce(list_aggregate(list_transform(regexp_extract_all(code, '[A-Za-z0-9_]+|[^A-Za-z0-9_]+'), lambda w: CASE WHEN list_contains({picked}, w) THEN {fresh} ELSE w END), 'string_agg', ''), ''))"
 
 
 def _code(spark, sf_dir):
     return read(spark, sf_dir, "pages").filter("html IS NOT NULL").select("page_id", F.col("html").alias("code"))
 
 
+def _ordered(spark, sf_dir):
+    """page_id, code, ordered: identifiers by a hash, each computed once."""
+    order = lambda v: F.transform(F.array_sort(F.transform(v, lambda x: F.struct(F.sha2(F.concat_ws(":", F.lit("3"), F.col("page_id").cast("string"), x), 256).alias("h"), x.alias("v")))), lambda s: s["v"])
+    return _code(spark, sf_dir).select("page_id", "code", T.once(T.identifiers(F.col("code")), order).alias("ordered"))
+
+
 def _picked(spark, sf_dir, n=4):
-    v = _code(spark, sf_dir).withColumn("vars", T.identifiers(F.col("code")))
-    order = F.array_sort(F.transform("vars", lambda x: F.struct(F.sha2(F.concat_ws(":", F.lit("3"), F.col("page_id").cast("string"), x), 256).alias("h"), x.alias("v"))))
-    return v.withColumn("picked", F.transform(F.slice(order, 1, n), lambda s: s["v"]))
+    return _ordered(spark, sf_dir).select("page_id", "code", F.slice("ordered", 1, n).alias("picked"))
+
+
+def _renamed(p):
+    """page_id, num_renamed, renamed, other columns of p (page_id, code, picked): picked identifiers get new names wherever they stand."""
+    others = [c for c in p.columns if c not in ("page_id", "code", "picked")]
+    words = F.regexp_extract_all("code", F.lit("[A-Za-z0-9_]+"), F.lit(0))
+    names = T.once(words, lambda w: F.map_from_arrays("picked", T.fresh_names(F.col("picked"), w, F.col("page_id"))))
+    p = p.select("page_id", "code", *others, F.size("picked").cast("long").alias("num_renamed"), names.alias("names"))
+    return p.select("page_id", *others, "num_renamed", F.sha2(T.rename(F.col("code"), F.col("names")), 256).alias("renamed"))
 
 
 @query(f"SELECT page_id, len(vars) AS n, vars FROM {IDENT}")
@@ -547,13 +569,10 @@ def extract_identifiers(spark, sf_dir):
     return _code(spark, sf_dir).select("page_id", T.identifiers(F.col("code")).alias("vars")).select("page_id", F.size("vars").cast("long").alias("n"), "vars")
 
 
-@query(f"SELECT page_id, len(picked) AS num_renamed, sha256(coalesce(list_aggregate(list_transform(regexp_extract_all(code, '[A-Za-z0-9_]+|[^A-Za-z0-9_]+'), lambda w: CASE WHEN list_contains(picked, w) THEN 'var_' || (list_position(picked, w) - 1) || '_' || page_id ELSE w END), 'string_agg', ''), '')) AS renamed FROM {RMAP}")
+@query(f"SELECT page_id, len(picked) AS num_renamed, {renamed_sql('picked')} AS renamed FROM {RMAP}")
 def rename_n(spark, sf_dir):
-    """Four identifiers by hash order get new names, wherever they stand."""
-    p = _picked(spark, sf_dir)
-    new = F.transform("picked", lambda x, i: F.concat(F.lit("var_"), i.cast("string"), F.lit("_"), F.col("page_id").cast("string")))
-    p = p.select("page_id", "code", F.size("picked").cast("long").alias("num_renamed"), F.map_from_arrays("picked", new).alias("names"))
-    return p.select("page_id", "num_renamed", F.sha2(T.rename(F.col("code"), F.col("names")), 256).alias("renamed"))
+    """Four identifiers by hash order get new names, wherever they stand; no new name is one that the page has."""
+    return _renamed(_picked(spark, sf_dir))
 
 
 @query(f"SELECT n.i AS n, round(avg(least(len(vars), n.i)), 8) AS avg_renamed FROM {IDENT}, (VALUES (1), (4), (8)) n(i) GROUP BY 1")
@@ -572,11 +591,12 @@ def identifier_mask(spark, sf_dir):
 MLM_TOK = f"(SELECT doc_id, list_transform({TOK}, lambda t: coalesce({IDS}[t], 99)) AS ids FROM {DOCS})"
 
 
-def _drawn(spark, sf_dir, seed):
-    """doc_id, ids of whole texts, and a hash for each id, from which numbers in [0, 1) are cut where they are asked for."""
-    ids = docs(spark, sf_dir).select("doc_id", F.transform(T.token_ids(T.tokens(F.col("text"))), lambda i: F.coalesce(i, F.lit(99))).alias("ids"))
-    prefix = F.concat(F.lit(f"{seed}:"), F.col("doc_id").cast("string"), F.lit(":"))
-    return ids.select("doc_id", "ids", prefix.alias("prefix")).select("doc_id", "ids", F.transform("ids", lambda x, i: F.sha2(F.concat(F.col("prefix"), i.cast("string")), 256)).alias("hs"))
+def _drawn(spark, sf_dir, seed, make):
+    """doc_id, and make(id, hash) for each id of whole texts. Numbers in [0, 1) are cut from a token's hash where they are asked for;
+    one hash at a time is held."""
+    ids = docs(spark, sf_dir).select("doc_id", F.concat(F.lit(f"{seed}:"), F.col("doc_id").cast("string"), F.lit(":")).alias("prefix"), F.transform(T.token_ids(T.tokens(F.col("text"))), lambda i: F.coalesce(i, F.lit(99))).alias("ids"))
+    one = lambda x, i: F.get(F.transform(F.array(F.sha2(F.concat(F.col("prefix"), i.cast("string")), 256)), lambda h: make(x, h)), F.lit(0))
+    return ids.select("doc_id", F.transform("ids", one).alias("p"))
 
 
 def _drawn_sql(seed):
@@ -591,14 +611,15 @@ def _cut(k):
 @query(f"SELECT doc_id, list_transform(range(0, len(ids)), lambda i: CASE WHEN {_cut(0)} >= 0.15 THEN ids[i + 1] WHEN {_cut(1)} < 0.8 THEN 100 WHEN {_cut(1)} < 0.9 THEN CAST(floor({_cut(2)} * 52) AS INT) ELSE ids[i + 1] END) AS masked, list_transform(range(0, len(ids)), lambda i: CASE WHEN {_cut(0)} < 0.15 THEN ids[i + 1] ELSE -100 END) AS labels FROM {_drawn_sql(21)}")
 def mlm_mask(spark, sf_dir):
     """15 % are to be told; of these 80 % are hidden, 10 % are another token, 10 % stay."""
-    told = lambda x, h: F.when(T.u01_of(h, 1) < 0.8, F.lit(100)).when(T.u01_of(h, 1) < 0.9, F.floor(T.u01_of(h, 2) * 52).cast("int")).otherwise(x)
-    pair = F.zip_with("ids", "hs", lambda x, h: F.when(T.u01_of(h) < 0.15, F.struct(told(x, h).alias("m"), x.alias("l"))).otherwise(F.struct(x.alias("m"), F.lit(-100).alias("l"))))
-    return _drawn(spark, sf_dir, 21).select("doc_id", pair.alias("p")).select("doc_id", F.col("p.m").alias("masked"), F.col("p.l").alias("labels"))
+    told = lambda x, h: F.when(T.below(h, 0.8, 1), F.lit(100)).when(T.below(h, 0.9, 1), F.floor(T.u01_of(h, 2) * 52).cast("int")).otherwise(x)
+    pair = lambda x, h: F.when(T.below(h, 0.15), F.struct(told(x, h).alias("m"), x.alias("l"))).otherwise(F.struct(x.alias("m"), F.lit(-100).alias("l")))
+    return _drawn(spark, sf_dir, 21, pair).select("doc_id", F.col("p.m").alias("masked"), F.col("p.l").alias("labels"))
 
 
 @query(f"SELECT doc_id, list_transform(range(0, len(ids)), lambda i: CASE WHEN {_cut(0)} < 0.15 AND CAST(floor({_cut(1)} * 52) AS INT) <> ids[i + 1] THEN 1 ELSE 0 END) AS is_replaced FROM {_drawn_sql(24)}")
 def replaced_tokens(spark, sf_dir):
-    return _drawn(spark, sf_dir, 24).select("doc_id", F.zip_with("ids", "hs", lambda x, h: ((T.u01_of(h) < 0.15) & (F.floor(T.u01_of(h, 1) * 52).cast("int") != x)).cast("int")).alias("is_replaced"))
+    replaced = lambda x, h: F.when(T.below(h, 0.15), (F.floor(T.u01_of(h, 1) * 52).cast("int") != x).cast("int")).otherwise(0)
+    return _drawn(spark, sf_dir, 24, replaced).select("doc_id", F.col("p").alias("is_replaced"))
 
 
 # -- reports -------------------------------------------------------------------------------------
@@ -711,8 +732,8 @@ def prompt_reference_join(spark, sf_dir):
     return c.filter("role = 'user'").join(r, ["conv_id", "turn"]).select("conv_id", "turn", (F.col("text") == "x").alias("odd"), F.length("text").cast("long").alias("prompt_chars"), F.length("reference").cast("long").alias("reference_chars"))
 
 
-@query(f"SELECT n.i AS n, page_id, least(len(vars), n.i) AS num_renamed FROM {IDENT}, (VALUES (1), (4), (8)) n(i)")
+@query(f"SELECT n, page_id, len(picked) AS num_renamed, {renamed_sql('picked')} AS renamed FROM (SELECT n.i AS n, *, ordered[1:n.i] AS picked FROM {RALL}, (VALUES (1), (4), (8)) n(i))")
 def renamed_sets(spark, sf_dir):
-    """For each N the number of identifiers that the renamed set changes."""
-    v = _code(spark, sf_dir).select("page_id", F.size(T.identifiers(F.col("code"))).alias("k"), F.explode(F.array(*map(F.lit, (1, 4, 8)))).alias("n"))
-    return v.select("n", "page_id", F.least("k", "n").cast("long").alias("num_renamed"))
+    """The renamed set of each N: how many identifiers of a page it changes, and the page's renamed text."""
+    each = _ordered(spark, sf_dir).withColumn("n", F.explode(F.array(*map(F.lit, (1, 4, 8)))))
+    return _renamed(each.select("page_id", "code", "n", F.slice("ordered", 1, F.col("n")).alias("picked"))).select("n", "page_id", "num_renamed", "renamed")
