@@ -156,3 +156,20 @@ def below(digest: Column, share: float, k: int = 0) -> Column:
     """Whether u01_of(digest, k) < share, by the digits as they are."""
     least = math.ceil(Fraction(share) * 16**13)
     return F.substring(digest, 13 * k + 1, 13) < f"{least:013x}" if least < 16**13 else F.lit(True)
+
+
+def program_features(code: Column) -> Column:
+    """line_count, if_count (blocks by depth, 0 to 10), max_depth, ops (+ and - between two operands, sorted) of a tab-indented program."""
+    depth = lambda x: F.length(x) - F.length(F.ltrim(x, F.lit("\t")))
+    block = lambda x: F.ltrim(x, F.lit("\t")).rlike("^(if|for) ")
+
+    def of(lines):
+        deep = F.transform(F.filter(lines, block), depth)
+        return F.struct(
+            F.size(lines).alias("line_count"),
+            F.transform(F.sequence(F.lit(0), F.lit(10)), lambda d: F.size(F.filter(deep, lambda x: x == d))).alias("if_count"),
+            F.array_max(F.transform(lines, depth)).alias("max_depth"),
+            F.filter(F.array(F.lit("+"), F.lit("-")), lambda op: F.exists(lines, lambda x: F.contains(x, F.concat(F.lit(" "), op, F.lit(" "))))).alias("ops"),
+        )
+
+    return F.get(F.transform(F.array(F.split(code, "\n", -1)), of), F.lit(0))

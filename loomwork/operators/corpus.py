@@ -44,6 +44,21 @@ def with_ordinal(df: DataFrame, key: str, name: str = "rn", then: tuple[str, ...
     return ranked.withColumn(name, F.col(name) + F.col("_start")).drop("_part", "_start"), shift
 
 
+def with_running(df: DataFrame, value: str, name: str, key: str, then: tuple[str, ...] = ()) -> DataFrame:
+    """Adds rn and the sum of value (a whole number) up to each row in the order of key and then, by ranges as with_ordinal does."""
+    order = [key, *then]
+    dealt = settled(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    starts, n, total = [], 0, 0
+    for p, rows, own in sorted((r[0], r[1], r[2]) for r in dealt.groupBy("_part").agg(F.count(F.lit(1)), F.coalesce(F.sum(value), F.lit(0))).collect()):
+        starts.append((p, n, total))
+        n, total = n + rows, total + own
+    start = df.sparkSession.createDataFrame(starts, "_part int, _n bigint, _sum bigint")
+    w = W.partitionBy("_part").orderBy(*order)
+    run = dealt.withColumn("rn", F.row_number().over(w)).withColumn(name, F.coalesce(F.sum(value).over(w.rowsBetween(W.unboundedPreceding, 0)), F.lit(0)))
+    run = run.join(F.broadcast(start), "_part")
+    return run.withColumn("rn", F.col("rn") + F.col("_n")).withColumn(name, F.col(name) + F.col("_sum")).drop("_part", "_n", "_sum")
+
+
 def dedup_keep_first(df: DataFrame, text: str = "text", order: str = "doc_id") -> DataFrame:
     """Of rows with equal texts the first by order. Only hashes and keys are aggregated (combined before they move), then met with rows."""
     hashed = df.withColumn("h", F.sha2(F.col(text), 256))

@@ -135,6 +135,18 @@ def generate(spark: SparkSession, n: int, seed: int = 1, **dialect) -> DataFrame
     return spark.range(n).mapInPandas(run, "ex_id long, text string")
 
 
+def until(spark: SparkSession, target: int, kept, seed: int = 1, **dialect) -> DataFrame:
+    """The first target programs, by id, of those that kept (a function of a table ex_id, text) leaves. More are made
+    by the share that was kept so far; the driver learns counts alone."""
+    n = max(2 * target, 1)
+    while True:
+        got = kept(generate(spark, n, seed, **dialect))
+        found = got.count()
+        if found >= target:
+            return got.orderBy("ex_id").limit(target)
+        n = max(2 * n, int(1.2 * n * target / max(found, 1)))
+
+
 def traced(programs: DataFrame, bound: int = BOUND) -> DataFrame:
     """ex_id, text, error (null if it ran), steps, rendered."""
 
@@ -152,21 +164,25 @@ def traced(programs: DataFrame, bound: int = BOUND) -> DataFrame:
     return programs.select("ex_id", "text").mapInPandas(run, TRACE)
 
 
-def context_windows(tok: list[str], bounds: list[int], block: int, pad: str = "\n\n") -> list[tuple[int, list[str], list[str]]]:
+def context_windows(tok: list[str], bounds: list[int], block: int, pad: str = "\n\n", whole: bool = False) -> list[tuple[int, list[str], list[str]]]:
     """(start, x, y) windows of block tokens, each from a boundary; the next begins at the last boundary whose end isn't past the
-    window (never at the last of all), y is x moved on by one, short windows are padded."""
-    out, at = [], 0
+    window (never at the last of all), y is x moved on by one, short windows are padded. Behind a step longer than the block no
+    boundary is within reach: there the windows end, or (whole) the next begins where this one ends, so that no token is left out."""
+    out, at, start = [], 0, bounds[0]
     while True:
-        start = bounds[at]
         stop = start + block
         x, y = tok[start:stop], tok[start + 1 : stop + 1]
         out.append((start, x + [pad] * (block - len(x)), y + [pad] * (block - len(y))))
         if stop >= len(tok) - 1:
             return out
-        inside = [k for k in range(at, len(bounds) - 1) if bounds[k] <= stop]
-        if not inside or inside[-1] == at:
-            return out  # a step longer than the block: nothing further begins within reach
-        at = inside[-1]
+        inside = [k for k in range(at, len(bounds) - 1) if start < bounds[k] <= stop]
+        if inside:
+            at = inside[-1]
+            start = bounds[at]
+        elif whole:
+            start = stop  # inside a step longer than the block
+        else:
+            return out
 
 
 def windows(examples: DataFrame, block: int) -> DataFrame:
@@ -174,7 +190,7 @@ def windows(examples: DataFrame, block: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]):
         for pdf in batches:
-            rows = [(i, *w) for i, tok, bounds in zip(pdf["ex_id"], pdf["tok"], pdf["bounds"]) if len(bounds) for w in context_windows(list(tok), [int(b) for b in bounds], block)]
+            rows = [(i, *w) for i, tok, bounds in zip(pdf["ex_id"], pdf["tok"], pdf["bounds"]) if len(bounds) for w in context_windows(list(tok), [int(b) for b in bounds], block, whole=True)]
             yield pd.DataFrame(rows, columns=["ex_id", "start", "x", "y"])
 
     return examples.select("ex_id", "tok", "bounds").mapInPandas(run, "ex_id long, start int, x array<string>, y array<string>")

@@ -377,9 +377,9 @@ def text_windows(spark, sf_dir):
     return pairs.select("doc_id", "start", pad("x").alias("x"), pad("y").alias("y"), (F.array_position("x", BASE.boundary) - 1).cast("int").alias("mask_from"))
 
 
-@query("SELECT conv_id, turn, r.i AS copy FROM conversations, range(0, 8) r(i)")
+@query("SELECT conv_id, turn, r.i AS copy FROM conversations, range(0, 128) r(i)")
 def replicate(spark, sf_dir):
-    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("copy"))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(127).cast("long"))).alias("copy"))
 
 
 # -- evaluation ----------------------------------------------------------------------------------
@@ -683,40 +683,66 @@ def structure_filters(spark, sf_dir):
 # -- synthesis (no SQL form; tests hold them against CPython) --------------------------------------
 
 
+def _programs(spark, sf_dir, **dialect):
+    """As many programs as there are documents."""
+    return synth.generate(spark, read(spark, sf_dir, "documents").count(), **dialect)
+
+
 @query()
 def synth_corpus(spark, sf_dir):
-    return synth.generate(spark, 2000)
+    return _programs(spark, sf_dir)
 
 
 @query()
 def synth_loops(spark, sf_dir):
-    return synth.generate(spark, 2000, seed=2, loops=True, depth=3, most_lines=15)
+    return _programs(spark, sf_dir, seed=2, loops=True, depth=3, most_lines=15)
 
 
 @query()
 def trace_steps(spark, sf_dir):
-    t = synth.traced(synth.generate(spark, 2000))
+    t = synth.traced(_programs(spark, sf_dir))
     return t.select("ex_id", "error", F.size("steps").alias("n_steps"), F.sha2("rendered", 256).alias("rendered_sha256"))
 
 
 @query()
 def trace_outcomes(spark, sf_dir):
     """Programs by what became of them: kept, or the error."""
-    return synth.traced(synth.generate(spark, 2000)).groupBy(F.coalesce("error", F.lit("kept")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+    return synth.traced(_programs(spark, sf_dir)).groupBy(F.coalesce("error", F.lit("kept")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()
 def contiguous_windows(spark, sf_dir):
-    t = synth.traced(synth.generate(spark, 500)).filter("error IS NULL").select("ex_id", T.tokens(F.col("rendered")).alias("tok"))
+    """Windows of 512 tokens over traces that the span filter leaves; no token of a trace is left out."""
+    t = synth.traced(_programs(spark, sf_dir)).filter("error IS NULL").select("ex_id", T.tokens(F.col("rendered")).alias("tok"))
     b = t.withColumn("bounds", F.concat(F.array(F.lit(0)), T.boundaries(F.col("tok"))))
-    w = synth.windows(b, 256)
+    w = synth.windows(b, 512)
     return w.select("ex_id", "start", F.sha2(F.array_join("x", ""), 256).alias("x_sha256"), F.size("y").alias("block"))
 
 
 @query()
 def permuted_programs(spark, sf_dir):
-    """Programs under eight distinct permutations of their names each."""
-    return rename.renamed_programs(synth.generate(spark, 200), 8).select("ex_id", "copy", F.sha2("text", 256).alias("text_sha256"))
+    """Programs under 128 distinct permutations of their names each."""
+    return rename.renamed_programs(_programs(spark, sf_dir)).select("ex_id", "copy", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query()
+def program_features(spark, sf_dir):
+    """Lines, blocks by depth, depth and operators of programs, and the filters over them."""
+    f = _programs(spark, sf_dir, seed=3, depth=3, most_lines=15).select("ex_id", T.program_features(F.col("text")).alias("f")).select("ex_id", "f.*")
+    few = F.forall("if_count", lambda x: x <= 2)
+    return f.select("*", C.structure_ok(F.col("line_count"), F.col("if_count")).alias("structure_ok"), (F.col("max_depth") >= 3).alias("deeper"), (~few).alias("denser"), (F.col("line_count") > 10).alias("longer"), (F.size("ops") > 1).alias("mixed"))
+
+
+@query()
+def synth_until(spark, sf_dir):
+    """As many programs that run and pass the structure filter, no text twice, as a tenth of the documents."""
+    target = read(spark, sf_dir, "documents").count() // 10
+
+    def kept(programs):
+        ran = synth.traced(programs).filter("error IS NULL").select("ex_id", "text", T.program_features(F.col("text")).alias("f"))
+        return C.dedup_keep_first(ran.filter(C.structure_ok(F.col("f.line_count"), F.col("f.if_count"))).select("ex_id", "text"), "text", "ex_id")
+
+    return synth.until(spark, target, kept)
 
 
 @query(f"SELECT doc_id, sha256(coalesce(list_aggregate(list_transform(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_]+'), lambda w: CASE w WHEN 'a' THEN 'z' WHEN 'e' THEN 'a' WHEN 'y' THEN 'e' ELSE w END), 'string_agg', ''), '')) AS renamed FROM {DOCS}")
@@ -737,3 +763,6 @@ def renamed_sets(spark, sf_dir):
     """The renamed set of each N: how many identifiers of a page it changes, and the page's renamed text."""
     each = _ordered(spark, sf_dir).withColumn("n", F.explode(F.array(*map(F.lit, (1, 4, 8)))))
     return _renamed(each.select("page_id", "code", "n", F.slice("ordered", 1, F.col("n")).alias("picked"))).select("n", "page_id", "num_renamed", "renamed")
+
+
+from loomwork.plans import more  # noqa: E402, F401  further queries register themselves

@@ -14,6 +14,40 @@ def corpus(spark: SparkSession, path: str, strip: bool = False) -> DataFrame:
     return rows.withColumn("text", F.regexp_replace("text", r"^\s+|\s+$", "")).filter("text <> ''")
 
 
+def corpus_strict(spark: SparkSession, path: str) -> DataFrame:
+    """text, file, place: the records that a blank line ends; what stands behind the last blank line of a file is left out. A file is
+    one row on the way, so it must fit a task."""
+    whole = spark.read.text(path, wholetext=True).select("value", F.input_file_name().alias("file"))
+    parts = F.split("value", "\n\n", -1)
+    return whole.select("file", F.posexplode(F.slice(parts, 1, F.size(parts) - 1)).alias("place", "text")).select("text", "file", "place")
+
+
+def shards(spark: SparkSession, pattern: str) -> DataFrame:
+    """file, shard: the files that a pattern finds, numbered in order of their names."""
+    files = spark.read.format("binaryFile").load(pattern).select(F.col("path").alias("file")).orderBy("file").collect()
+    return spark.createDataFrame([(r.file, i) for i, r in enumerate(files)], "file string, shard int")
+
+
+def by_language(spark: SparkSession, paths: dict[str, str], schema: str = "code string, nl string") -> DataFrame:
+    """The rows of JSONL files with the language that each path stands for; rows without code are left out."""
+    out = None
+    for lang, path in paths.items():
+        rows = jsonl(spark, path, schema).filter(F.trim("code") != "").withColumn("lang", F.lit(lang))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def vocabulary_sizes(spark: SparkSession, json_path: str | None = None, lines_path: str | None = None) -> tuple[int, ...]:
+    """Entries of a trained tokenizer's JSON (an object at model.vocab), and lines of a vocabulary text, of those that are given."""
+    out = []
+    if json_path:
+        vocab = F.from_json(F.get_json_object("value", "$.model.vocab"), "map<string,bigint>")
+        out.append(spark.read.text(json_path, wholetext=True).select(F.size(vocab).alias("n")).first().n)
+    if lines_path:
+        out.append(spark.read.text(lines_path).count())
+    return tuple(out)
+
+
 def jsonl(spark: SparkSession, path: str, schema: str = "code string, label int, index int") -> DataFrame:
     return spark.read.schema(schema).json(path)
 
