@@ -1,11 +1,10 @@
 """Quality classifier: random-indexing word vectors, pooled per document, and a two-layer network.
 
-Each word form has a sparse random index vector (a few +1 and -1, from the form alone). A form's
-vector is the sum of the index vectors of its neighbours over the whole corpus, in integers, so
-the order of summing doesn't matter. Forms are hashed to a fixed number of rows, so the
-matrix has the same size for any corpus; each task sums its own and tasks' sums are summed by slices. A
-document is the mean of its words' unit vectors and index vectors. The network is trained in numpy on a
-bounded sample of labelled documents and its temperature is set on rows that it was not trained on.
+Each word has a sparse random index vector (a few +1 and -1). A word's vector is the sum of the index vectors of its
+neighbours over the whole corpus, in integers, so the order of summing doesn't matter. Whole words are hashed to a fixed
+number of rows, so the matrix has the same size for any corpus; each task sums its own, groups of tasks' sums are summed
+by slices, then all groups'. A document is the mean of its words' unit vectors and index vectors. The network is trained
+in numpy on a bounded sample of labelled documents and its temperature is set on rows that it was not trained on.
 """
 
 from __future__ import annotations
@@ -16,18 +15,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import id_split, text_bytes
+from loomwork.llm.common import discard, id_split, stored, text_bytes
 
-ROWS, WIDTH, NONZERO, WINDOW, SLICES = 8192, 64, 2, 2, 16
+ROWS, WIDTH, NONZERO, WINDOW, SLICES = 65_536, 64, 2, 2, 64
 MOST_LABELLED = 20_000
+#: Tasks' sums meet in so many groups first.
+GROUPS = 32
 _TOKEN = re.compile(rb"[A-Za-z0-9\x80-\xff]+|[^A-Za-z0-9\x80-\xff\s]")
 
 
 class FormRow(dict):
-    """The matrix row of a token: short tokens by themselves, others by case, length and ending."""
+    """The matrix row of a token, by a hash of the whole token."""
 
     def __init__(self, rows: int = ROWS, most: int = 500_000):
         super().__init__()
@@ -36,11 +38,7 @@ class FormRow(dict):
     def __missing__(self, token: bytes) -> int:
         if len(self) >= self.most:
             self.clear()
-        form = token
-        if len(token) > 4:
-            case = b"U" if token.isupper() else b"d" if token.isdigit() else b"T" if token[:1].isupper() else b"l"
-            form = b"%c %d %s" % (case, min(len(token), 24) // 3, token[-3:].lower())
-        got = self[token] = zlib.crc32(form) % self.rows
+        got = self[token] = zlib.crc32(token) % self.rows
         return got
 
     def of(self, raw: bytes) -> list[int]:
@@ -70,8 +68,14 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
                     ids = []
             if ids:
                 total += near(np.array(ids), places, signs)
+        group = TaskContext.get().partitionId() % GROUPS
         for k, part in enumerate(np.array_split(total, SLICES)):
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(part.astype(np.int32 if np.abs(part).max() < 2**31 else np.int64).tobytes(), 1)], pa.binary()), pa.array([len(part)], pa.int32())], ["k", "part", "n"])
+            if part.any():
+                yield coded(group, k, part)
+
+    def coded(group, k, part):
+        small = part.astype(np.int32 if np.abs(part).max() < 2**31 else np.int64)
+        return pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), pa.array([k], pa.int32()), pa.array([zlib.compress(small.tobytes(), 1)], pa.binary()), pa.array([len(part)], pa.int32())], ["g", "k", "part", "n"])
 
     def near(ids, places, signs):
         out = np.zeros(ROWS * WIDTH, np.int64)
@@ -87,34 +91,38 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         return out
 
     def add(batches):
-        sums: dict[int, np.ndarray] = {}
+        sums: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            for k, part, n in zip(*(c.to_pylist() for c in batch.columns)):
+            for g, k, part, n in zip(*(c.to_pylist() for c in batch.columns)):
                 data = zlib.decompress(part)
-                x = np.frombuffer(data, np.int32 if len(data) == 4 * n else np.int64).astype(np.int64)
-                sums[k] = sums[k] + x if k in sums else x
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["k", "part"])
-
-    parts = docs.select(text_bytes(text_col).alias("raw")).mapInArrow(gather, "k int, part binary, n int")
+                x = np.frombuffer(data, np.int32 if len(data) == 4 * n else np.int64)
+                sums[g, k] = sums[g, k] + x if (g, k) in sums else x.astype(np.int64)
+        for (g, k), x in sums.items():
+            yield coded(g, k, x)
+
+    schema = "g int, k int, part binary, n int"
+    parts = docs.select(text_bytes(text_col).alias("raw")).mapInArrow(gather, schema).repartition(4 * SLICES, "g", "k").mapInArrow(add, schema)
+    parts = parts.withColumn("g", F.lit(0)).repartition(SLICES, "k").mapInArrow(add, schema)
     total = np.zeros(ROWS * WIDTH, np.int64)
-    cuts = [len(p) for p in np.array_split(total, SLICES)]
-    starts = np.cumsum([0, *cuts])
-    for r in parts.repartition(SLICES, "k").mapInArrow(add, "k int, part binary").collect():
-        total[starts[r.k] : starts[r.k + 1]] += np.frombuffer(r.part, np.int64)
+    starts = np.cumsum([0, *(len(p) for p in np.array_split(total, SLICES))])
+    for r in parts.toLocalIterator():
+        data = zlib.decompress(r.part)
+        total[starts[r.k] : starts[r.k + 1]] += np.frombuffer(data, np.int32 if len(data) == 4 * r.n else np.int64)
     return total.reshape(ROWS, WIDTH)
 
 
 def unit_vectors(sums: np.ndarray) -> np.ndarray:
     """Rows with their common direction taken out, of length 1; then index vectors beside them."""
-    x = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1)
-    seen = np.abs(sums).sum(axis=1) > 0
+    x = sums.astype(np.float32)
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1)
+    seen = sums.any(axis=1)
     x = x - (x[seen].mean(axis=0) if seen.any() else 0)
-    x = np.where(seen[:, None], x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9), 0)
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    x[~seen] = 0
     places, signs = index_vectors()
-    own = np.zeros((ROWS, WIDTH))
-    np.put_along_axis(own, places, signs.astype(float), axis=1)
-    return np.concatenate([x, own], axis=1).astype(np.float32)
+    own = np.zeros((ROWS, WIDTH), np.float32)
+    np.put_along_axis(own, places, signs.astype(np.float32), axis=1)
+    return np.concatenate([x, own], axis=1)
 
 
 def pooled(ids: list[int], vectors: np.ndarray) -> np.ndarray:
@@ -198,7 +206,14 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(x, pa.binary())], ["id", "y", "x"])
 
     sample = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("raw")).join(F.broadcast(chosen), "id").select("id", "raw", "y")
+    # an id may have many rows: the bound holds for rows, too
+    sample = stored(sample, "quality-sample")
+    if sample.count() > most_labelled:
+        whole, sample = sample, stored(sample.orderBy(F.xxhash64(F.lit(seed), "id", "raw"), "raw").limit(most_labelled), "quality-sample")
+        discard(whole)
     got = sorted(sample.mapInArrow(features, f"id {dict(sample.dtypes)['id']}, y int, x binary").collect(), key=lambda r: (zlib.crc32(str(r.id).encode()), str(r.id), r.x))
+    held.unpersist()
+    discard(sample)
     y = np.array([r.y for r in got])
     if not len(got) or y.min() == y.max():
         flat = np.zeros(2 * WIDTH + 4)
