@@ -93,7 +93,7 @@ def chunk_keys(sig: np.ndarray, most: int = GUARANTEED) -> np.ndarray:
         for left in combinations(range(WIDE), errors):
             n += 1
             kept = [i for i in range(WIDE) if i not in left]
-            out.append(_mixed(mixed[:, k, kept].sum(axis=1, dtype=np.uint64) + np.uint64(n) * _POWERS[7]))
+            out.append(_mixed(mixed[:, k, kept].sum(axis=1, dtype=np.uint64) + _mixed(np.array([n], np.uint64))))
     return np.stack(out, axis=1).view(np.int64)
 
 
@@ -334,11 +334,12 @@ def _linked(docs: DataFrame, percent: int, width: int, most_distance: int | None
         own = family.hint("merge").join(first, "node", "left").select("node", "family", F.coalesce("component", "node").alias("comp"))
         own = stored(own.hint("merge").join(nodes.select("node", "sig"), "node").hint("merge").join(sets.withColumnRenamed("id", "node"), "node"), "family-sets")
         sizes = own.groupBy("family").agg(F.greatest(F.ceil(F.sum(F.octet_length("shingles")) / block_bytes), F.ceil(F.count(F.lit(1)) / block_rows)).cast("int").alias("blocks"))
+        sizes = stored(sizes, "family-sizes")  # a table on either side of the join: Spark splits a large family
         parts = _parted(own.hint("merge").join(sizes, "family")).select("family", "t.i", "t.j", "t.side", "node", "comp", "sig", "shingles")
         late = stored(parts.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(_links_within(most, percent), "a bigint, b bigint").distinct(), "late-links")
         if late.limit(1).count():
             final = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(late))
-        discard(family, sets, own, forest, late)
+        discard(family, sets, own, sizes, forest, late)
     whole = rows.hint("merge").join(final, "node", "left")
     out = stored(whole.select("id", "given", "n", F.coalesce("component", "node", "id").alias("component")), "near-duplicates")
     discard(nodes, rows, links, several, first, placed, open_, final)
