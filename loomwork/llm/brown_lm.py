@@ -11,13 +11,12 @@ the class that fits their neighbours best, sweep by sweep until none moves. In t
 it has before them. Groups by ending are left to words below LEAST and to those that training doesn't have. Class transitions
 are then counted over the corpus by the final classes.
 
-Executors know the further words by 64-bit hashes (9 bytes a word with the class). The word table may be of any size: it
-stays a table in the shared folder, and a text's less frequent words meet their counts in a join.
+Executors know the further words by 64-bit hashes (17 bytes a word with class and score). The word table may be of any size:
+it stays a table in the shared folder, and a text's words below LEAST meet their counts in a join.
 """
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 from collections import Counter
 from dataclasses import dataclass
@@ -25,6 +24,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -62,13 +62,37 @@ class UnitOf(dict):
         self[word] = unit
         return unit
 
+    def learn(self, words: set[bytes]) -> None:
+        """Looks up all words that aren't known yet at once."""
+        new = [w for w in words if w not in self]
+        if len(self) + len(new) > self.most:
+            self.clear()
+            new = list(words)
+        rest = []
+        for w in new:
+            if (unit := self.known.get(w)) is None:
+                rest.append(w)
+            else:
+                self[w] = unit
+        if self.grown is not None and rest:
+            h = hashes(rest)
+            at = np.minimum(self.grown.searchsorted(h), len(self.grown) - 1)
+            found = self.grown[at] == h
+            self.update(zip((rest[i] for i in np.flatnonzero(found).tolist()), (UNITS + at[found]).tolist()))
+            rest = [rest[i] for i in np.flatnonzero(~found).tolist()]
+        self.update((w, group_of(w)) for w in rest)
+
+
+def hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)).view(np.int64)
+
 
 def group_of(word: bytes) -> int:
     return FREQUENT + zlib.crc32(word[-4:] + (b"." if len(word) > 9 else b"")) % ENDINGS
 
 
 def word_hash(word: bytes) -> np.int64:
-    return np.int64(int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little", signed=True))
+    return hashes([word])[0]
 
 
 def words_of(raw: bytes) -> list[bytes]:
@@ -102,17 +126,8 @@ def pair_counts(docs: DataFrame, frequent: list[bytes]) -> np.ndarray:
     high = UNITS // SLICES
 
     def gather(batches):
-        unit, total = UnitOf(held.value), np.zeros(UNITS * UNITS, np.uint32)
-        for batch in batches:
-            ids = [END]
-            for raw in batch.column(0).to_pylist():
-                ids += map(unit.__getitem__, words_of(raw))
-                ids.append(END)
-                if len(ids) > 2_000_000:
-                    x = np.array(ids)
-                    np.add.at(total, x[:-1] * UNITS + x[1:], np.uint32(1))
-                    ids = [END]
-            x = np.array(ids)
+        total = np.zeros(UNITS * UNITS, np.uint32)
+        for x in _chunks(batches, UnitOf(held.value)):
             np.add.at(total, x[:-1] * UNITS + x[1:], np.uint32(1))
         for k in range(SLICES):
             part = total[k * high * UNITS : (k + 1) * high * UNITS if k < SLICES - 1 else None]
@@ -174,7 +189,7 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int | None = Non
             diag = np.diag(m)
             across = np.where(eye, 0, _f(m + r[None, :]) - base).sum(axis=1)
             down = np.where(eye, 0, _f(m + l[:, None]) - base).sum(axis=0)
-            rows, cols = m.sum(axis=1), m.sum(axis=0)
+            rows, cols = m.sum(axis=1) + l, m.sum(axis=0) + r  # wherever the unit goes, its neighbours count in their own classes' sums
             gain = across + down + _f(diag + r + l + self_) - _f(diag) - (_f(rows + r.sum() + self_) - _f(rows)) - (_f(cols + l.sum() + self_) - _f(cols))
             gain[0] = -np.inf
             b = int(np.argmax(gain))
@@ -190,31 +205,48 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int | None = Non
     return of
 
 
+def _texts(batches):
+    """Words of texts, some texts at a time."""
+    held, size = [], 0
+    for batch in batches:
+        for raw in batch.column(0).to_pylist():
+            held.append(words_of(raw))
+            size += len(raw)
+            if size > 1_000_000:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
 def _chunks(batches, unit: UnitOf):
     """Arrays of units of whole texts, with ends around each text."""
     ids = [END]
-    for batch in batches:
-        for raw in batch.column(0).to_pylist():
-            ids += map(unit.__getitem__, words_of(raw))
+    for texts in _texts(batches):
+        unit.learn(set().union(*texts))
+        for words in texts:
+            ids += map(unit.__getitem__, words)
             ids.append(END)
-            if len(ids) > 2_000_000:
-                yield np.array(ids)
-                ids = [END]
+        if len(ids) > 1_000_000:
+            yield np.array(ids)
+            ids = [END]
     yield np.array(ids)
 
 
-def grown_words(counts: DataFrame, frequent: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the words with a count of at least LEAST that are not among the frequent ones, and their groups."""
+def grown_words(counts: DataFrame, frequent: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted hashes of the words with a count of at least LEAST that are not among the frequent ones, their groups and their counts."""
     held = counts.sparkSession.sparkContext.broadcast(set(frequent))
 
     def run(batches):
         for batch in batches:
-            words = [w for w in batch.column(0).to_pylist() if w not in held.value]
-            yield pa.RecordBatch.from_arrays([pa.array([word_hash(w) for w in words], pa.int64()), pa.array([group_of(w) for w in words], pa.int16())], ["h", "g"])
+            words = batch.column(0).to_pylist()
+            at = [i for i, w in enumerate(words) if w not in held.value]
+            yield pa.RecordBatch.from_arrays([pa.array(hashes([words[i] for i in at])), pa.array([group_of(words[i]) for i in at], pa.int16()), batch.column(1).take(pa.array(at, pa.int64()))], ["h", "g", "c"])
 
-    t = counts.filter(F.col("c") >= LEAST).select("word").mapInArrow(run, "h bigint, g smallint").toArrow()
+    t = counts.filter(F.col("c") >= LEAST).select("word", "c").mapInArrow(run, "h bigint, g smallint, c bigint").toArrow()
+    held.unpersist()
     h, first = np.unique(t.column("h").to_numpy(), return_index=True)
-    return h, t.column("g").to_numpy()[first].astype(np.int64)
+    return h, t.column("g").to_numpy()[first].astype(np.int64), t.column("c").to_numpy()[first]
 
 
 def contexts(docs: DataFrame, frequent: list[bytes], grown: np.ndarray, class_of: np.ndarray) -> DataFrame:
@@ -322,6 +354,8 @@ class BrownModel:
     frequent_score: np.ndarray
     end_score: float
     unknown_score: float
+    #: log10 u of each further word.
+    grown_score: np.ndarray
     tokens: int
     types: int
     #: Table (word, c) of all training words.
@@ -346,7 +380,7 @@ def train(docs: DataFrame, text_col: str = "text") -> BrownModel:
     m = np.zeros((CLASSES, CLASSES))
     np.add.at(m, (class_of[:, None].repeat(UNITS, 1).ravel(), np.tile(class_of, UNITS)), pairs.ravel())
     del pairs
-    grown, group = grown_words(counts, frequent)
+    grown, group, grown_count = grown_words(counts, frequent)
     if len(grown):
         first = class_of[group]
         near = contexts(raw, frequent, grown, np.append(class_of, first))
@@ -360,7 +394,9 @@ def train(docs: DataFrame, text_col: str = "text") -> BrownModel:
         frequent, grown, own = held.value
         unit = UnitOf(frequent, grown)
         for batch in batches:
-            k = own[np.fromiter(map(unit.__getitem__, batch.column(0).to_pylist()), np.int64, batch.num_rows)]
+            words = batch.column(0).to_pylist()
+            unit.learn(set(words))
+            k = own[np.fromiter(map(unit.__getitem__, words), np.int64, batch.num_rows)]
             c = batch.column(1).to_numpy()
             found = np.unique(k)
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(np.bincount(k, c, CLASSES)[found].astype(np.int64)), pa.array(np.bincount(k, minlength=CLASSES)[found])], ["k", "c", "n"])
@@ -374,7 +410,7 @@ def train(docs: DataFrame, text_col: str = "text") -> BrownModel:
     share = mass / mass.sum()
     transition = (m + PRIOR * share[None, :]) / (m.sum(axis=1, keepdims=True) + PRIOR)
     score = np.log10((np.array([r.c for r in best], float) + ADD) / whole)
-    return BrownModel(frequent, grown, class_of, np.log10(transition / mass[None, :]), score, float(np.log10(end_u)) if n_docs else float(np.log10(ADD / whole)), float(np.log10(ADD / whole)), tokens, types, counts)
+    return BrownModel(frequent, grown, class_of, np.log10(transition / mass[None, :]), score, float(np.log10(end_u)) if n_docs else float(np.log10(ADD / whole)), float(np.log10(ADD / whole)), np.log10((grown_count + ADD) / whole), tokens, types, counts)
 
 
 def score_documents(docs: DataFrame, model: BrownModel, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -383,33 +419,34 @@ def score_documents(docs: DataFrame, model: BrownModel, id_col: str = "doc_id",
     Null and empty texts are an end; repeated rows are scored each (rows are told apart by where they were stored, not by
     id); an empty table gives an empty table; other columns are not read."""
     spark = docs.sparkSession
-    held = spark.sparkContext.broadcast((model.frequent, model.grown, model.class_of.astype(np.uint8), model.gain, model.frequent_score, model.end_score))
+    held = spark.sparkContext.broadcast((model.frequent, model.grown, model.class_of.astype(np.uint8), model.gain, model.frequent_score, model.grown_score, model.end_score))
     has_end = model.tokens > 0
     kinds = dict(docs.dtypes)
     kept = "".join(f"`{c}` {kinds[c]}, " for c in (id_col, *carry))
 
     def run(batches):
-        frequent, grown, class_of, gain, frequent_score, end_score = held.value
+        frequent, grown, class_of, gain, frequent_score, grown_score, end_score = held.value
         unit, n_frequent = UnitOf(frequent, grown), len(frequent)
         row = TaskContext.get().partitionId() << 40
-        padded = np.append(frequent_score, np.zeros(UNITS + len(grown) - n_frequent))
+        padded = np.concatenate([frequent_score, np.zeros(UNITS - n_frequent), grown_score])
         for batch in batches:
             n, known, base, gains, rare_words, rare_n, offsets = [], [], [], [], [], [], [0]
-            for raw in batch.column(0).to_pylist():
-                words = words_of(raw)
-                ids = np.fromiter(map(unit.__getitem__, words), np.int64, len(words))
-                own = class_of[ids]
-                before = np.concatenate(([class_of[END]], own))
-                after = np.append(own, class_of[END])
-                is_frequent = ids < n_frequent
-                n.append(len(words) + 1)
-                known.append(int(is_frequent.sum()) + has_end)
-                base.append(float(padded[ids].sum()) + end_score)
-                gains.append(float(gain[before, after].sum()))
-                rare = Counter([words[i] for i in np.flatnonzero(~is_frequent).tolist()])
-                rare_words += rare.keys()
-                rare_n += rare.values()
-                offsets.append(len(rare_words))
+            for texts in _texts([batch]):
+                unit.learn(set().union(*texts))
+                for words in texts:
+                    ids = np.fromiter(map(unit.__getitem__, words), np.int64, len(words))
+                    own = class_of[ids]
+                    before = np.concatenate(([class_of[END]], own))
+                    after = np.append(own, class_of[END])
+                    rare_at = np.flatnonzero((ids >= n_frequent) & (ids < UNITS))  # known by their group alone
+                    n.append(len(words) + 1)
+                    known.append(len(words) - len(rare_at) + has_end)
+                    base.append(float(padded[ids].sum()) + end_score)
+                    gains.append(float(gain[before, after].sum()))
+                    rare = Counter([words[i] for i in rare_at.tolist()])
+                    rare_words += rare.keys()
+                    rare_n += rare.values()
+                    offsets.append(len(rare_words))
             at = np.arange(row, row + len(n))
             row += len(n)
             lists = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(v, t)) for v, t in ((rare_words, pa.binary()), (rare_n, pa.int32()))]
@@ -419,7 +456,7 @@ def score_documents(docs: DataFrame, model: BrownModel, id_col: str = "doc_id",
     rows = docs.select(text_bytes(text_col).alias("raw"), id_col, *carry).mapInArrow(run, f"{kept}row bigint, n_tokens bigint, known bigint, base double, gain double, words array<binary>, times array<int>")
     rows = stored(rows, "lm-rows")
     met = rows.select("row", F.explode(F.arrays_zip("words", "times")).alias("r")).select("row", F.col("r.words").alias("word"), F.col("r.times").alias("times"))
-    met = met.join(model.counts, "word", "left")
+    met = met.join(model.counts.filter(F.col("c") < LEAST), "word", "left")  # all words with more have been met above
     c = F.coalesce("c", F.lit(0))
     rare = met.groupBy("row").agg(F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("rare_known"), F.sum(F.col("times") * model.log_u(c)).alias("rare_base"))
     out = rows.drop("words", "times").join(rare, "row", "left")

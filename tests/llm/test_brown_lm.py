@@ -65,3 +65,22 @@ def test_empty(spark):
     assert m.tokens == 0 and B.score_documents(none, m).count() == 0
     r = B.score_documents(spark.createDataFrame([(1, "a")], "doc_id bigint, text string"), m).first()
     assert (r.n_tokens, r.n_known) == (2, 0) and abs(r.base_score - 2 * math.log10(1.0)) < 1e-9
+
+
+def test_no_single_move_raises_the_likelihood():
+    """What exchange leaves is a local maximum of the class bigrams' likelihood, computed anew for each move."""
+    rng = np.random.default_rng(9)
+    for n, classes in ((5, 4), (30, 5)):
+        pairs = rng.poisson(0.7, (n, n)).astype(np.float32)
+        of = B.exchange(pairs, classes)
+
+        def likelihood(of):
+            m = np.eye(classes)[of].T @ pairs.astype(float) @ np.eye(classes)[of]
+            return B._f(m).sum() - B._f(m.sum(0)).sum() - B._f(m.sum(1)).sum()
+
+        now = likelihood(of)
+        for w in range(n - 1):
+            for c in range(1, classes):
+                other = of.copy()
+                other[w] = c
+                assert likelihood(other) <= now + 1e-6
