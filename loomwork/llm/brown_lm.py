@@ -11,6 +11,9 @@ the class that fits their neighbours best, sweep by sweep until none moves. In t
 it has before them. Groups by ending are left to words below LEAST and to those that training doesn't have. Class transitions
 are then counted over the corpus by the final classes.
 
+The corpus is cut into words twice in training: to count them, and, when the words with units are known, to turn texts into units.
+The units are a table in the shared folder, from which neighbours of units and of classes are counted.
+
 Executors know the further words by 64-bit hashes (17 bytes a word with class and score). The word table may be of any size:
 it stays a table in the shared folder, and a text's words below LEAST meet their counts in a join.
 """
@@ -120,14 +123,42 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("raw").mapInArrow(run, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def pair_counts(docs: DataFrame, frequent: list[bytes]) -> np.ndarray:
-    """[UNITS, UNITS] counts of neighbouring units; tasks' sums are summed by slices, the driver gets one matrix of fixed size."""
-    held = docs.sparkSession.sparkContext.broadcast(frequent)
+def encoded(docs: DataFrame, frequent: list[bytes], grown: np.ndarray) -> DataFrame:
+    """x: int32 units of some whole texts of docs (raw binary), with ends around each text. Every neighbourhood lies in one row."""
+    held = docs.sparkSession.sparkContext.broadcast((frequent, grown))
+
+    def run(batches):
+        for ids in _chunks(batches, UnitOf(*held.value)):
+            yield pa.RecordBatch.from_arrays([pa.array([ids.astype(np.int32).tobytes()], pa.binary())], ["x"])
+
+    return stored(docs.select("raw").mapInArrow(run, "x binary"), "lm-units")
+
+
+def _rows(batches):
+    """Arrays of units from batches of encoded(), many rows at a time; the end between two texts stands once."""
+    held, size = [], 0
+    for batch in batches:
+        for x in batch.column(0):
+            ids = np.frombuffer(x.as_buffer(), np.int32)
+            held.append(ids[1:] if held else ids)
+            size += len(ids)
+            if size > 1_000_000:
+                yield np.concatenate(held)
+                held, size = [], 0
+    if held:
+        yield np.concatenate(held)
+
+
+def pair_counts(units: DataFrame, group: np.ndarray) -> np.ndarray:
+    """[UNITS, UNITS] counts of neighbouring units, further words counting as their groups (group, by place); tasks' sums are
+    summed by slices, the driver gets one matrix of fixed size."""
+    held = units.sparkSession.sparkContext.broadcast(group.astype(np.int16))
     high = UNITS // SLICES
 
     def gather(batches):
-        total = np.zeros(UNITS * UNITS, np.uint32)
-        for x in _chunks(batches, UnitOf(held.value)):
+        total, fold = np.zeros(UNITS * UNITS, np.uint32), np.append(np.arange(UNITS, dtype=np.int32), held.value)
+        for ids in _rows(batches):
+            x = fold[ids]
             np.add.at(total, x[:-1] * UNITS + x[1:], np.uint32(1))
         for k in range(SLICES):
             part = total[k * high * UNITS : (k + 1) * high * UNITS if k < SLICES - 1 else None]
@@ -146,10 +177,11 @@ def pair_counts(docs: DataFrame, frequent: list[bytes]) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(x.astype(np.float32).tobytes(), 1)], pa.binary())], ["k", "part"])
 
     out = np.zeros(UNITS * UNITS, np.float32)
-    parts = docs.select("raw").mapInArrow(gather, "k int, part binary").repartition(SLICES, "k").mapInArrow(add, "k int, part binary")
+    parts = units.mapInArrow(gather, "k int, part binary").repartition(SLICES, "k").mapInArrow(add, "k int, part binary")
     for r in parts.collect():
         x = np.frombuffer(zlib.decompress(r.part), np.float32)
         out[r.k * high * UNITS : r.k * high * UNITS + len(x)] += x
+    held.destroy()
     return out.reshape(UNITS, UNITS)
 
 
@@ -227,9 +259,9 @@ def _chunks(batches, unit: UnitOf):
         for words in texts:
             ids += map(unit.__getitem__, words)
             ids.append(END)
-        if len(ids) > 1_000_000:
-            yield np.array(ids)
-            ids = [END]
+            if len(ids) > 65_536:  # small rows: Parquet writers and readers hold some hundred of them
+                yield np.array(ids)
+                ids = [END]
     yield np.array(ids)
 
 
@@ -249,16 +281,16 @@ def grown_words(counts: DataFrame, frequent: list[bytes]) -> tuple[np.ndarray, n
     return h, t.column("g").to_numpy()[first].astype(np.int64), t.column("c").to_numpy()[first]
 
 
-def contexts(docs: DataFrame, frequent: list[bytes], grown: np.ndarray, class_of: np.ndarray) -> DataFrame:
+def contexts(units: DataFrame, n_grown: int, class_of: np.ndarray) -> DataFrame:
     """k, x: for SPAN grown words from k * SPAN on, int32 [SPAN, 2 * CLASSES] of how often each class stands after and before them."""
-    held = docs.sparkSession.sparkContext.broadcast((frequent, grown, class_of.astype(np.uint8)))
+    held = units.sparkSession.sparkContext.broadcast(class_of.astype(np.uint8))
     wide = 2 * CLASSES
 
     def gather(batches):
-        frequent, grown, own = held.value
-        for ids in _chunks(batches, UnitOf(frequent, grown)):
+        own = held.value
+        for ids in _rows(batches):
             at = np.flatnonzero(ids >= UNITS)
-            place, near = (ids[at] - UNITS) * wide, own[ids]
+            place, near = (ids[at].astype(np.int64) - UNITS) * wide, own[ids]
             keys, n = np.unique(np.concatenate([place + near[at + 1], place + CLASSES + near[at - 1]]), return_counts=True)
             ks, starts = np.unique(keys // (SPAN * wide), return_index=True)
             for k, a, b in zip(ks.tolist(), starts.tolist(), [*starts[1:].tolist(), len(keys)]):
@@ -277,8 +309,8 @@ def contexts(docs: DataFrame, frequent: list[bytes], grown: np.ndarray, class_of
         for k, x in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(x.tobytes(), 1)], pa.binary())], ["k", "x"])
 
-    slices = -(-len(grown) // SPAN)
-    return stored(docs.select("raw").mapInArrow(gather, "k int, x binary").repartition(slices, "k").mapInArrow(add, "k int, x binary"), "lm-contexts")
+    slices = -(-n_grown // SPAN)
+    return stored(units.mapInArrow(gather, "k int, x binary").repartition(slices, "k").mapInArrow(add, "k int, x binary"), "lm-contexts")
 
 
 def place(table: DataFrame, of: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, int]:
@@ -326,19 +358,20 @@ def place(table: DataFrame, of: np.ndarray, m: np.ndarray) -> tuple[np.ndarray,
         np.maximum(both, 0, out=both)
 
 
-def class_pairs(docs: DataFrame, frequent: list[bytes], grown: np.ndarray, class_of: np.ndarray) -> np.ndarray:
+def class_pairs(units: DataFrame, class_of: np.ndarray) -> np.ndarray:
     """[CLASSES, CLASSES] counts of neighbouring classes."""
-    held = docs.sparkSession.sparkContext.broadcast((frequent, grown, class_of.astype(np.uint8)))
+    held = units.sparkSession.sparkContext.broadcast(class_of.astype(np.uint8))
 
     def run(batches):
-        frequent, grown, own = held.value
+        own = held.value
         total = np.zeros(CLASSES * CLASSES, np.int64)
-        for ids in _chunks(batches, UnitOf(frequent, grown)):
+        for ids in _rows(batches):
             c = own[ids].astype(np.int64)
             total += np.bincount(c[:-1] * CLASSES + c[1:], minlength=CLASSES * CLASSES)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["m"])
 
-    parts = docs.select("raw").mapInArrow(run, "m binary").collect()
+    parts = units.mapInArrow(run, "m binary").collect()
+    held.destroy()
     return sum((np.frombuffer(r.m, np.int64) for r in parts), np.zeros(CLASSES * CLASSES, np.int64)).reshape(CLASSES, CLASSES).astype(float)
 
 
@@ -374,20 +407,22 @@ def train(docs: DataFrame, text_col: str = "text") -> BrownModel:
     tokens, types = n_words + n_docs, n_types + bool(n_docs)
     best = counts.orderBy(F.desc("c"), "word").limit(FREQUENT).collect()
     frequent = [bytes(r.word) for r in best]
-    pairs = pair_counts(raw, frequent)
+    grown, group, grown_count = grown_words(counts, frequent)
+    units = encoded(raw, frequent, grown)
+    pairs = pair_counts(units, group)
     pairs[END, END] = max(0.0, pairs[END, END])
     class_of = exchange(pairs)
     m = np.zeros((CLASSES, CLASSES))
     np.add.at(m, (class_of[:, None].repeat(UNITS, 1).ravel(), np.tile(class_of, UNITS)), pairs.ravel())
     del pairs
-    grown, group, grown_count = grown_words(counts, frequent)
     if len(grown):
         first = class_of[group]
-        near = contexts(raw, frequent, grown, np.append(class_of, first))
+        near = contexts(units, len(grown), np.append(class_of, first))
         placed, _ = place(near, first, m)
         discard(near)
         class_of = np.append(class_of, placed)
-        m = class_pairs(raw, frequent, grown, class_of)
+        m = class_pairs(units, class_of)
+    discard(units)
     held = docs.sparkSession.sparkContext.broadcast((frequent, grown, class_of.astype(np.uint8)))
 
     def by_class(batches):
