@@ -23,7 +23,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from dataclasses import dataclass
-from itertools import count
+from itertools import chain, count, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -45,45 +45,43 @@ LEAST, SPAN = 10, 8192
 
 
 class UnitOf(dict):
-    """The unit of a word. grown: sorted hashes of the words that have units from UNITS on."""
+    """The unit of a word. grown: sorted hashes of the words that have units from UNITS on. Only words with units of their own
+    are kept here, at most so many: rare words would make it large and slow, and their group is soon told."""
 
     def __init__(self, frequent: list[bytes], grown: np.ndarray | None = None, most: int = 500_000):
-        super().__init__()
         self.known, self.grown, self.most = {w: i for i, w in enumerate(frequent)}, grown if grown is not None and len(grown) else None, most
+        super().__init__(self.known)
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        unit = self.known.get(word)
-        if unit is None and self.grown is not None:
-            h = word_hash(word)
-            at = int(self.grown.searchsorted(h))
-            if at < len(self.grown) and self.grown[at] == h:
-                unit = UNITS + at
-        if unit is None:
-            unit = group_of(word)
-        self[word] = unit
-        return unit
-
-    def learn(self, words: set[bytes]) -> None:
-        """Looks up all words that aren't known yet at once."""
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > self.most:
-            self.clear()
-            new = list(words)
-        rest = []
-        for w in new:
-            if (unit := self.known.get(w)) is None:
-                rest.append(w)
-            else:
-                self[w] = unit
-        if self.grown is not None and rest:
-            h = hashes(rest)
+        return int(self._look_up([word])[0])
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        """The units of words."""
+        ids = np.fromiter(map(self.get, words, repeat(-1)), np.int32, len(words))
+        new = np.flatnonzero(ids < 0)
+        if len(new):
+            ids[new] = self._look_up([words[i] for i in new.tolist()])
+        return ids
+
+    def of_texts(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """The units of all texts with an end after each, and the place of each end."""
+        ends = np.cumsum([len(words) for words in texts])
+        return np.insert(self.of(list(chain.from_iterable(texts))), ends, END), ends + np.arange(len(texts))
+
+    def _look_up(self, words: list[bytes]) -> np.ndarray:
+        ids, rest = np.empty(len(words), np.int32), range(len(words))
+        if self.grown is not None:
+            h = hashes(words)
             at = np.minimum(self.grown.searchsorted(h), len(self.grown) - 1)
             found = self.grown[at] == h
-            self.update(zip((rest[i] for i in np.flatnonzero(found).tolist()), (UNITS + at[found]).tolist()))
-            rest = [rest[i] for i in np.flatnonzero(~found).tolist()]
-        self.update((w, group_of(w)) for w in rest)
+            ids[found] = UNITS + at[found]
+            if len(self) + np.count_nonzero(found) > max(self.most, len(self.known)):
+                self.clear()
+                self.update(self.known)
+            self.update(zip((words[i] for i in np.flatnonzero(found).tolist()), ids[found].tolist()))
+            rest = np.flatnonzero(~found).tolist()
+        ids[rest] = [group_of(words[i]) for i in rest]
+        return ids
 
 
 def hashes(words: list[bytes]) -> np.ndarray:
@@ -129,7 +127,7 @@ def encoded(docs: DataFrame, frequent: list[bytes], grown: np.ndarray) -> DataFr
 
     def run(batches):
         for ids in _chunks(batches, UnitOf(*held.value)):
-            yield pa.RecordBatch.from_arrays([pa.array([ids.astype(np.int32).tobytes()], pa.binary())], ["x"])
+            yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary())], ["x"])
 
     return stored(docs.select("raw").mapInArrow(run, "x binary"), "lm-units")
 
@@ -253,16 +251,13 @@ def _texts(batches):
 
 def _chunks(batches, unit: UnitOf):
     """Arrays of units of whole texts, with ends around each text."""
-    ids = [END]
     for texts in _texts(batches):
-        unit.learn(set().union(*texts))
-        for words in texts:
-            ids += map(unit.__getitem__, words)
-            ids.append(END)
-            if len(ids) > 65_536:  # small rows: Parquet writers and readers hold some hundred of them
-                yield np.array(ids)
-                ids = [END]
-    yield np.array(ids)
+        ids, ends = unit.of_texts(texts)
+        start = 0
+        for a, b in zip(ends.tolist(), [*ends[1:].tolist(), 0]):
+            if a - start > 65_536 or not b:  # small rows: Parquet writers and readers hold some hundred of them
+                yield np.append(np.int32(END), ids[start : a + 1])
+                start = a + 1
 
 
 def grown_words(counts: DataFrame, frequent: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -430,8 +425,7 @@ def train(docs: DataFrame, text_col: str = "text") -> BrownModel:
         unit = UnitOf(frequent, grown)
         for batch in batches:
             words = batch.column(0).to_pylist()
-            unit.learn(set(words))
-            k = own[np.fromiter(map(unit.__getitem__, words), np.int64, batch.num_rows)]
+            k = own[unit.of(words)]
             c = batch.column(1).to_numpy()
             found = np.unique(k)
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(np.bincount(k, c, CLASSES)[found].astype(np.int64)), pa.array(np.bincount(k, minlength=CLASSES)[found])], ["k", "c", "n"])
@@ -464,24 +458,28 @@ def score_documents(docs: DataFrame, model: BrownModel, id_col: str = "doc_id",
         unit, n_frequent = UnitOf(frequent, grown), len(frequent)
         row = TaskContext.get().partitionId() << 40
         padded = np.concatenate([frequent_score, np.zeros(UNITS - n_frequent), grown_score])
+        padded[END] = end_score
         for batch in batches:
             n, known, base, gains, rare_words, rare_n, offsets = [], [], [], [], [], [], [0]
             for texts in _texts([batch]):
-                unit.learn(set().union(*texts))
-                for words in texts:
-                    ids = np.fromiter(map(unit.__getitem__, words), np.int64, len(words))
-                    own = class_of[ids]
-                    before = np.concatenate(([class_of[END]], own))
-                    after = np.append(own, class_of[END])
-                    rare_at = np.flatnonzero((ids >= n_frequent) & (ids < UNITS))  # known by their group alone
-                    n.append(len(words) + 1)
-                    known.append(len(words) - len(rare_at) + has_end)
-                    base.append(float(padded[ids].sum()) + end_score)
-                    gains.append(float(gain[before, after].sum()))
-                    rare = Counter([words[i] for i in rare_at.tolist()])
-                    rare_words += rare.keys()
-                    rare_n += rare.values()
+                ids, ends = unit.of_texts(texts)
+                starts = np.append(0, ends[:-1] + 1)
+                own = class_of[ids]
+                rare_at = np.flatnonzero((ids >= n_frequent) & (ids < END))  # known by their group alone
+                of = ends.searchsorted(rare_at)
+                n.append(ends - starts + 1)
+                known.append(ends - starts + has_end - np.bincount(of, minlength=len(texts)))
+                base.append(np.add.reduceat(padded[ids], starts))
+                gains.append(np.add.reduceat(gain[np.append(class_of[END], own[:-1]), own], starts))
+                bounds = of.searchsorted(np.arange(len(texts) + 1)).tolist()
+                places = (rare_at - starts[of]).tolist()
+                for words, a, b in zip(texts, bounds, bounds[1:]):
+                    if a < b:
+                        rare = Counter([words[i] for i in places[a:b]])
+                        rare_words += rare.keys()
+                        rare_n += rare.values()
                     offsets.append(len(rare_words))
+            n, known, base, gains = (np.concatenate(x) if x else np.zeros(0) for x in (n, known, base, gains))
             at = np.arange(row, row + len(n))
             row += len(n)
             lists = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(v, t)) for v, t in ((rare_words, pa.binary()), (rare_n, pa.int32()))]
