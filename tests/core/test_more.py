@@ -125,6 +125,38 @@ def test_a_class_larger_than_a_block(spark):
     assert knn.map_at_r(v.limit(0)).first().n_queries == 0
 
 
+def test_blocks_leave_no_copies_of_the_gallery_on_disk(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, i % 4, [float(x) for x in rng.normal(size=32)]) for i in range(2000)]
+    v = knn.normalised(spark.createDataFrame(rows, "vec_id bigint, label int, embedding array<double>")).localCheckpoint()
+    sc = spark.sparkContext._jsc.sc()
+
+    def written():
+        sc.listenerBus().waitUntilEmpty()
+        return sc.statusStore().executorList(False).head().totalShuffleWrite()
+
+    at = [written()]
+    got = []
+    for block in (4096, 20):
+        got.append(knn.map_at_r(v, block).first())
+        at.append(written())
+    assert got[0] == got[1] and got[0].n_queries == 2000
+    assert at[2] - at[1] < 3 * (at[1] - at[0])
+
+
+def test_equal_vectors_tie_wherever_they_stand(spark):
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=64).tolist(), rng.normal(size=64).tolist()
+    rows = [(i, int(rng.integers(3)), x if i % 2 else y) for i in range(301)]
+    v = knn.normalised(spark.createDataFrame(rows, "vec_id bigint, label int, embedding array<double>").repartition(5))
+    for block in (1, 4096):
+        got = {}
+        for r in knn.neighbours(v, v, 4, block).collect():
+            got.setdefault(r.q_id, []).append((r.rank, r.c_id))
+        for i in range(301):
+            assert [c for _, c in sorted(got[i])] == [c for c in range(i % 2, 301, 2) if c != i][:4]
+
+
 def test_running_sums_and_ties(spark):
     df = spark.createDataFrame([(i // 3, i, i % 2) for i in range(50)], "k int, i int, v int")
     got = sorted((r.rn, r.i, r.s) for r in C.with_running(df, "v", "s", "k", ("i",)).collect())
