@@ -42,11 +42,11 @@ def seen(ordinal: Column, length: int, rarity: float) -> Column:
     return F.lit(True) if length == 1 else ordinal < max(1, int(26**length * rarity))
 
 
-def ranked(number: Column, longest: int = 10) -> Column:
-    """The name with this 0-based rank when names are ordered by length, then by letters; null beyond the longest ones."""
+def ranked(number: Column, longest: int = 10, again: bool = False) -> Column:
+    """The name with this 0-based rank when names are ordered by length, then by letters; beyond the longest ones null, or (again) those anew."""
     out, before = None, 0
     for length in range(1, longest + 1):
         name = base26(number - F.lit(before), length)
         before += 26**length
         out = (F if out is None else out).when(number < F.lit(before), name)
-    return out
+    return out.otherwise(name) if again else out

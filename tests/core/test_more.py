@@ -3,6 +3,7 @@
 import ast
 import json
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -100,6 +101,17 @@ def test_ranked_names(spark):
     assert got[:2] == ["a", "b"] and got[26:28] == ["aa", "ab"] and got[26 + 676 :] == ["aaa", "aab", "aac"] and len(set(got)) == len(got)
 
 
+def test_ranked_names_are_those_of_the_sql_beyond_five_letters(spark, tmp_path):
+    ids = [0, 1, 18, 19, 493, 494, 12844, 12845, 333962, 333963, 333964, 400_000, 599_999, 5_999_999, 10**9, 10**11, 10**13, None]
+    spark.createDataFrame([(i,) for i in ids], "event_id bigint").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    for name in ("ranked_names", "ranked_names_whole"):
+        got = {r.n: r.name for r in catalogue.QUERIES[name](spark, str(tmp_path)).collect()}
+        assert got == dict(con.sql(catalogue.ORACLE_SQL[name]).fetchall()) and len(got) == len(ids)
+    assert got[333964 * 37] == "aaaabm" and got[10**13 * 37] is None
+
+
 def test_no_token_of_a_long_step_is_lost():
     tok = [str(i) for i in range(20)]
     got = synth.context_windows(tok, [0, 2, 15, 18, 20], 6, whole=True)
